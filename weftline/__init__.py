@@ -1 +1,8 @@
 """weftline: relational, temporal-graph and data-quality analytics on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions that run in Python workers travel with the job, so executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
