@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import cooccurrence, percentiles
+from weftline.llm import cooccurrence, packing, percentiles
 from weftline.session import clean_label, table
 
 
@@ -56,7 +56,24 @@ def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d)[0].select(F.col("a").alias("person_a"), F.col("b").alias("person_b"), "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift"), F.round("llr", 4).alias("llr"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_percentiles, p6_found, p6_pairs)}
+def _kinds(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "containers").select(F.col("container_kind").alias("kind"), F.col("capacity_tokens").alias("capacity"))
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    sizes = packing.token_sizes(table(spark, d, "documents"), "doc_id", "text")
+    placed = packing.fill_containers(sizes, _kinds(spark, d))
+    return placed.withColumnsRenamed({"kind": "container_kind", "container": "container_id", "key": "doc_id"})
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    sizes = packing.token_sizes(table(spark, d, "documents"), "doc_id", "text")
+    kinds = _kinds(spark, d)
+    fill = packing.container_fill(packing.fill_containers(sizes, kinds), kinds)
+    return fill.withColumnsRenamed({"kind": "container_kind", "container": "container_id"})
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_percentiles, p6_found, p6_pairs, p7_containers, p7_fill)}
 
 _P5 = """
 WITH v AS (
