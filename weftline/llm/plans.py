@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import cooccurrence, packing, percentiles
+from weftline.llm import cooccurrence, leakage, packing, percentiles
 from weftline.session import clean_label, table
 
 
@@ -73,7 +73,20 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill.withColumnsRenamed({"kind": "container_kind", "container": "container_id"})
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_percentiles, p6_found, p6_pairs, p7_containers, p7_fill)}
+def _leak_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return docs, table(spark, d, "eval_items").select(F.col("item_id").alias("item"), "lang", "text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_passages(*_leak_inputs(spark, d)).withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
+
+
+def p8_templates(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_templates(*_leak_inputs(spark, d)).withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_percentiles, p6_found, p6_pairs, p7_containers, p7_fill, p8_found, p8_templates)}
 
 _P5 = """
 WITH v AS (
