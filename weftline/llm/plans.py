@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import cooccurrence, leakage, packing, percentiles
+from weftline.llm import cooccurrence, leakage, packing, percentiles, sentences
 from weftline.session import clean_label, table
 
 
@@ -86,7 +86,17 @@ def p8_templates(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_templates(*_leak_inputs(spark, d)).withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_percentiles, p6_found, p6_pairs, p7_containers, p7_fill, p8_found, p8_templates)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return sentences.sentences(docs).withColumnRenamed("doc", "doc_id")
+
+
+def p9_sentences(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return sentences.sentence_texts(docs).withColumnRenamed("doc", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_percentiles, p6_found, p6_pairs, p7_containers, p7_fill, p8_found, p8_templates, p9_found, p9_sentences)}
 
 _P5 = """
 WITH v AS (
