@@ -8,18 +8,20 @@ terminators of each script, and each piece is restored by its place in the text.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Private-use placeholders. BLANK is a blank line, DOT a mark that ends nothing, FINAL the
-#: last mark inside a quotation or bracket, SPEAKER the colon of a speaker mark.
-BLANK, DOT, FINAL, SPEAKER, CUT = "\ue001", "\ue002", "\ue003", "\ue004", "\ue0ff"
-#: Quotations: opened in a sentence, at its start, or behind a colon or comma; and their ends.
-Q_IN, Q_START, Q_SAID, END_IN, END_START, END_SAID = "\ue010", "\ue011", "\ue012", "\ue013", "\ue014", "\ue015"
-#: Brackets: opened in a sentence or at its start; and their ends.
-B_IN, B_START, B_END, B_END_START = "\ue016", "\ue017", "\ue018", "\ue019"
-_OPEN = Q_IN + Q_START + Q_SAID + B_IN + B_START
+#: Private-use placeholders. BLANK is a blank line, DOT a mark that ends nothing, CUT the end of a sentence.
+BLANK, DOT, CUT = "\ue001", "\ue002", "\ue0ff"
+#: Opening and end of a quotation; those of brackets stay as they are.
+QUOTE, Q_END = "\ue010", "\ue013"
+_B_OPEN, _B_SHUT = r"(（\[【", r")）\]】"
+_OPEN, _SHUT = QUOTE + _B_OPEN, Q_END + _B_SHUT
 _END = ".!?…。！？।؟｡"
+#: Turns letters and blanks away before a list of marks is tried, as most characters are these.
+_NO_LETTER = r"(?![a-z ])(?!\p{L})"
 _SPACE = r"\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _HIDDEN = r"[\u00ad\u200b-\u200d\u2060\ufeff]*"
 _TRIM = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000" + BLANK
@@ -43,107 +45,132 @@ LAST_WORDS = (
 BEFORE_ORDINAL = "Die Der Das Dem Den Des Am Im Vom Zum Zur Beim die der das dem den des am im vom zum zur beim ab seit".split()
 MONTHS = "Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember".split()
 
-_QUOTES = (
-    rf"(?=[“„«「『\"'‘])(?:„([^„“”{BLANK}]{{0,1000}})[“”]|“([^“”„{BLANK}]{{0,1000}})”|«([^«»{BLANK}]{{0,1000}})»"
+_MARKS = (
+    rf"{_NO_LETTER}(?=[“„«「『\"'‘\u2014])(?:„([^„“”{BLANK}]{{0,1000}})[“”]|“([^“”„{BLANK}]{{0,1000}})”|«([^«»{BLANK}]{{0,1000}})»"
     rf"|「([^「」{BLANK}]{{0,1000}})」|『([^『』{BLANK}]{{0,1000}})』|\"([^\"{BLANK}]{{0,500}})\""
     rf"|(?<![\p{{L}}\p{{N}}])'([^'{BLANK}]{{0,300}}(?:'(?=\p{{L}})[^'{BLANK}]{{0,300}}){{0,5}})'(?![\p{{L}}\p{{N}}])"
-    rf"|‘([^‘’{BLANK}]{{0,300}}(?:’(?=\p{{L}})[^‘’{BLANK}]{{0,300}}){{0,5}})’(?!\p{{L}}))"
+    rf"|‘([^‘’{BLANK}]{{0,300}}(?:’(?=\p{{L}})[^‘’{BLANK}]{{0,300}}){{0,5}})’(?!\p{{L}})"
+    # speech after a dash, up to the dash before its speaker; the blank there stands for the closing mark
+    rf"|\u2014([^\u2014{BLANK}]{{1,300}})[{_SPACE}](?=\u2014\p{{Ll}}))"
 )
-_BRACKETS = rf"[(（\[【]([^()（）\[\]【】{BLANK}]{{0,1000}})[)）\]】]"
 _NOT_LETTER = r"(?<![\p{L}\p{N}\p{M}])"
 _SINGLE = rf"(?<={_NOT_LETTER}(?<!\.)\p{{L}}\p{{M}}{{0,2}}\.)(?<!(?:[ap]\.\s{{1,3}}|т\.\s{{1,3}}|\d\s{{1,3}}|\d)[mдпкг]\.)"
 #: Marks outside quotations that end nothing.
 _MASKED = (
     rf"[.…!?](?:(?<=[\p{{L}}\p{{N}}_)].)(?=[\p{{Ll}}\p{{N}}_])"  # decimals, codes, file names, addresses
     rf"|(?<=\.\.)(?=\s{{0,3}}[\p{{Ll}}\p{{Lo}}])|(?<=\.)(?=\.{{1,5}}\s{{0,3}}[\p{{Ll}}\p{{Lo}}])|(?<=…)(?=…{{0,5}}\s{{0,3}}[\p{{Ll}}\p{{Lo}}])"  # an ellipsis that goes on
-    rf"|(?<={_NOT_LETTER}(?:{'|'.join(ABBREVIATIONS)})\.)"
+    rf"|(?<!\p{{L}}{{8}}.)(?:(?<={_NOT_LETTER}(?:{'|'.join(ABBREVIATIONS)})\.)"
     rf"|(?<={_NOT_LETTER}(?:{'|'.join(LAST_WORDS)})\.)(?=[{_SPACE}]{{1,4}}\p{{Ll}})"
     rf"|(?<=\d[{_SPACE}]{{0,3}}гг?\.)(?=[{_SPACE}]{{1,4}}\p{{Ll}})"
     rf"|(?<={_NOT_LETTER}(?:No|Nos|no|p|t|S|с|ص)\.)(?=[{_SPACE}]{{0,3}}\p{{N}})"
     rf"|{_SINGLE}(?=[{_SPACE}]{{0,4}}[\p{{L}}\p{{N}}])"  # initials
     rf"|(?<=\.\p{{Lu}}\.)(?=\p{{Lu}}\.)"
     rf"|(?<={_NOT_LETTER}(?:{'|'.join(BEFORE_ORDINAL)})[{_SPACE}]{{1,3}}\d{{1,2}}\.)(?=[{_SPACE}]{{1,3}}\p{{Lu}})"
-    rf"|(?<=\d\.)(?=[{_SPACE}]{{1,3}}(?:{'|'.join(MONTHS)})(?!\p{{L}}))"
-    rf"|(?=[^—{BLANK}]{{0,300}}[{_SPACE}]—\p{{Ll}})(?<=—[^—{BLANK}]{{0,300}}.))"  # speech after a dash
+    rf"|(?<=\d\.)(?=[{_SPACE}]{{1,3}}(?:{'|'.join(MONTHS)})(?!\p{{L}}))))"
+)
+_SPEAKER = rf"(?:^|[\n{BLANK}])[QA]:"
+_START = rf"(?<=(?:^|[{BLANK}]|[{_END}]{_HIDDEN.replace('*', '{0,3}')}(?:[{_SPACE}]?[{_SHUT}])?|\n-|{_SPEAKER})[{_SPACE}]{{0,4}}.)"
+_SAID = rf"(?<=[:：,，、،؛;][{_SPACE}]{{0,3}}.)(?<!{_SPEAKER}[{_SPACE}]{{0,3}}.)"
+#: The last mark of a quotation or bracket, which isn't masked.
+_LAST = rf"(?:[{_END}]{{0,5}}[{_SPACE}]?[{_SHUT}])"
+_CLOSERS = r"[\"'”’»」』]*"
+_WITH_LAST = rf"(?<=[{_END}][{_SPACE}]{{0,1}}.){_HIDDEN}"
+_GOES_ON = rf"(?![{_SPACE}]*[\p{{Ll}},;:،，、。.!?—–-])"
+#: A quotation or bracket whose last mark ends the sentence too. One at the start of a sentence
+#: is ended by its speaker, unless another follows.
+_CLOSING = (
+    rf"{_NO_LETTER}(?:[{_B_OPEN}]{_START}[^{_B_OPEN}{_B_SHUT}{BLANK}]{{0,1000}}[{_B_SHUT}]{_WITH_LAST}{_GOES_ON}"
+    rf"|{QUOTE}(?:{_SAID}[^{QUOTE}{Q_END}]{{0,1000}}{Q_END}{_WITH_LAST}{_GOES_ON}"
+    rf"|{_START}[^{QUOTE}{Q_END}]{{0,1000}}{Q_END}{_WITH_LAST}(?=[{_SPACE}]*[{_OPEN}])"
+    rf"|(?!{_START})[^{QUOTE}{Q_END}]{{0,1000}}{Q_END}{_WITH_LAST}(?=[{_SPACE}]+[\p{{Lu}}¿¡{_OPEN}])))"
 )
-_START = rf"(?<=(?:^|[{BLANK}{SPEAKER}{_END}]{_HIDDEN.replace('*', '{0,3}')}|\n-|{FINAL}[{_SPACE}]?[{END_IN}{B_END}])[{_SPACE}]{{0,4}}.)"
-_SAID = rf"(?<=[:：,，、،؛;][{_SPACE}]{{0,3}}.)"
-_CLOSERS = rf"[\"'”’»)\]」』）{END_IN}{END_START}{END_SAID}{B_END}{B_END_START}]*"
 _CUTS = (
-    rf"(?=[{_END}{FINAL}{BLANK}\n])(?:"
-    rf"[.!?…]+{_CLOSERS}{_HIDDEN}(?=[{_SPACE}{BLANK}]|$)"
+    rf"{_NO_LETTER}(?=[{_END}{BLANK}\n])(?:"
+    rf"[.!?…]+{_CLOSERS}{_HIDDEN}(?=[{_SPACE}{BLANK}]|$)(?![{_SPACE}]?[{_SHUT}])"
+    rf"|[.!?…]*[。！？।؟｡][{_END}]*{_CLOSERS}{_HIDDEN}(?![{_SPACE}]?[{_SHUT}])"
     rf"|[.!?…]+(?=[\p{{Lu}}\p{{Lt}}¿¡{_OPEN}])"
     rf"|(?<=\p{{IsArabic}}{{2}})\.(?=[\p{{IsArabic}}])"
     rf"|[!?]+(?=\p{{Lo}})"
-    rf"|[.!?…]*[。！？।؟｡][{_END}]*{_CLOSERS}{_HIDDEN}"
-    rf"|{FINAL}+[{_SPACE}]?{B_END_START}{_HIDDEN}"
-    rf"|{FINAL}+[{_SPACE}]?{END_SAID}{_HIDDEN}(?![{_SPACE}]*[\p{{Ll}},;:،，、。.!?—–-])"
-    rf"|{FINAL}+[{_SPACE}]?{END_IN}{_HIDDEN}(?=[{_SPACE}]+[\p{{Lu}}¿¡{_OPEN}])"
-    rf"|{FINAL}+[{_SPACE}]?{END_START}{_HIDDEN}(?=[{_SPACE}]*[{_OPEN}])"
-    rf"|{BLANK}|\n(?=- ))"
+    rf"|(?={BLANK})|(?=\n- ))"
 )
 #: A blank of Thai text, which has no end marks.
+_OUTSIDE = rf"(?![^{_OPEN}{BLANK}]{{0,1000}}[{_SHUT}])"
 _THAI_CUTS = (
-    rf"(?<=[ก-ๅ็-๎{B_END}{B_END_START}])[{_SPACE}]+"
-    rf"(?=[^{_SPACE}{BLANK}\p{{IsLatin}}\p{{N}}ๆ])(?![^{_OPEN}{BLANK}]{{0,1000}}[{END_IN}{END_START}{END_SAID}{B_END}{B_END_START}])"
-    rf"|(?<=[^{_SPACE}{BLANK}\p{{IsLatin}}\p{{N}}ๆ{DOT}{SPEAKER}{END_IN}{END_START}{END_SAID}”’»\"'-])[{_SPACE}]+(?=[ก-ๅ])"
-    rf"(?![^{_OPEN}{BLANK}]{{0,1000}}[{END_IN}{END_START}{END_SAID}{B_END}{B_END_START}])"
+    rf"(?<=[\u0e01-\u0e45\u0e47-\u0e4e{_B_SHUT}])[{_SPACE}]+(?=[^{_SPACE}{BLANK}\p{{IsLatin}}\p{{N}}\u0e46]){_OUTSIDE}"
+    rf"|(?<=[^{_SPACE}{BLANK}\p{{IsLatin}}\p{{N}}\u0e46{DOT}:{CUT}{Q_END}”’»\"'-])[{_SPACE}]+(?=[\u0e01-\u0e45]){_OUTSIDE}"
 )
-_THAI = r"[ก-๛]"
+
+
+def _has_thai(text: Column) -> Column:
+    """Looks for the first two bytes that all Thai letters have in UTF-8, which is faster than a pattern."""
+    data = text.cast("binary")
+    return F.contains(data, F.lit(b"\xe0\xb8")) | F.contains(data, F.lit(b"\xe0\xb9"))
 
 
 def masked(text: Column) -> Column:
     """The text with placeholders, of equal length, and CUT behind each sentence."""
     sub = lambda c, pattern, by: F.regexp_replace(c, F.lit(pattern), F.lit(by))
-    own = rf"[{BLANK}-{CUT}]"
-    s = F.when(text.rlike(own), sub(text, own, "�")).otherwise(text)
+    own = [BLANK, DOT, CUT, QUOTE, Q_END]
+    s = F.when(reduce(lambda x, y: x | y, [text.contains(c) for c in own]), sub(text, f"[{''.join(own)}]", "\ufffd")).otherwise(text)
     s = sub(s, rf"\n(?=[{_SPACE.replace(chr(92) + 's', ' ' + chr(92) + 't' + chr(92) + 'r' + chr(92) + 'x0b' + chr(92) + 'f')}]*\n)", BLANK)
-    s = sub(s, rf"(^|[\n{BLANK}])([QA]):(?=[{_SPACE}])", rf"$1$2{SPEAKER}")
-    s = sub(s, _QUOTES, f"{Q_IN}$1$2$3$4$5$6$7$8{END_IN}")
-    s = sub(s, _BRACKETS, f"{B_IN}$1{B_END}")
-    s = sub(s, rf"[{_END}](?=[{_END}]{{0,5}}[{_SPACE}]?[{END_IN}{B_END}])", FINAL)
-    s = sub(s, rf"[{_END}](?:(?=[^{Q_IN}{END_IN}{BLANK}]{{0,1000}}{END_IN})|(?=[^{B_IN}{B_END}{BLANK}]{{0,1000}}{B_END}))", DOT)
+    s = sub(s, _MARKS, f"{QUOTE}$1$2$3$4$5$6$7$8$9{Q_END}")
+    # from an opened quotation or bracket, or from the mark before, to the next mark inside
+    s = sub(s, rf"((?:\G(?!^)|{QUOTE})[^{QUOTE}{Q_END}{BLANK}{_END}]{{0,1000}})[{_END}](?!{_LAST})", f"$1{DOT}")
+    brackets, closed = _B_OPEN + _B_SHUT, rf"(?=[^{_B_OPEN}{_B_SHUT}{BLANK}]{{0,1000}}[{_B_SHUT}])"
+    s = sub(s, rf"((?:\G(?!^)|{_NO_LETTER}[{_B_OPEN}])[^{brackets}{BLANK}{_END}]{{0,1000}})[{_END}](?!{_LAST}){closed}", f"$1{DOT}")
     s = sub(s, _MASKED, DOT)
-    s = sub(s, Q_IN + _START, Q_START)
-    s = sub(s, Q_IN + _SAID, Q_SAID)
-    s = sub(s, B_IN + _START, B_START)
-    inside = rf"([^{Q_IN}{Q_START}{Q_SAID}{END_IN}]{{0,1000}})"
-    s = sub(s, rf"{Q_START}{inside}{END_IN}", f"{Q_START}$1{END_START}")
-    s = sub(s, rf"{Q_SAID}{inside}{END_IN}", f"{Q_SAID}$1{END_SAID}")
-    s = sub(s, rf"{B_START}([^{B_IN}{B_START}{B_END}]{{0,1000}}){B_END}", f"{B_START}$1{B_END_START}")
-    s = F.when(text.rlike(_THAI), sub(s, _THAI_CUTS, f"$0{CUT}")).otherwise(s)
+    s = sub(s, _CLOSING, f"$0{CUT}")
+    s = F.when(_has_thai(text), sub(s, _THAI_CUTS, f"$0{CUT}")).otherwise(s)
     return sub(s, _CUTS, f"$0{CUT}")
 
 
-def sentence_spans(text: Column) -> Column:
-    """Array of ``start, end`` in code points, end exclusive, without surrounding blanks."""
-    # running sums of the pieces' lengths, in blocks so that very long texts take no square time
-    step = 64
-    pieces = F.split(masked(text), CUT)
-    packed = F.transform(F.array(pieces), lambda p: F.struct(p.alias("p"), F.transform(p, lambda x: F.length(x)).alias("n")))
+#: Pieces up to which an array of running sums is built by appending.
+_FEW = 500
+
+
+def sentence_spans(pieces: Column) -> Column:
+    """Array of ``start, end`` in code points, end exclusive, without surrounding blanks; blank pieces have no length.
+
+    ``pieces`` are those of a :func:`masked` text, as a column of their own, as they are
+    read more than once.
+    """
+    starts = F.when(F.size(pieces) <= _FEW, _appended(pieces)).otherwise(_summed(pieces))
+    return F.zip_with(pieces, starts, _trimmed)
+
+
+def _trimmed(p: Column, at: Column) -> Column:
+    begin = at + F.length(p) - F.length(F.ltrim(p, F.lit(_TRIM)))
+    # few pieces end in blanks, and looking for them takes longer than the last character
+    blank_end = F.instr(F.lit(_TRIM), F.substring(p, -1, 1)) > 0
+    kept = F.when(blank_end, F.length(F.rtrim(p, F.lit(_TRIM)))).otherwise(F.length(p))
+    return F.struct(begin.alias("start"), (at + kept).alias("end"))
+
+
+def _appended(pieces: Column) -> Column:
+    start = F.struct(F.lit(0).alias("s"), F.array().cast("array<int>").alias("a"))
+    step = lambda acc, p: F.struct((acc["s"] + F.length(p)).alias("s"), F.concat(acc["a"], F.array(acc["s"])).alias("a"))
+    return F.aggregate(pieces, start, step, lambda acc: acc["a"])
+
+
+def _summed(pieces: Column) -> Column:
+    """Running sums in blocks, so that very long texts take no square time."""
+    step = 256
     total = lambda a, start, length: F.aggregate(F.slice(a, start, length), F.lit(0), lambda x, y: x + y)
-    with_blocks = F.transform(
-        packed,
-        lambda r: F.struct(
-            r["p"].alias("p"), r["n"].alias("n"),
-            F.transform(F.sequence(F.lit(0), F.floor((F.size(r["n"]) - 1) / step).cast("int")), lambda b: total(r["n"], b * step + 1, F.lit(step))).alias("b"),
-        ),
-    )
-    ahead = F.transform(
-        with_blocks,
-        lambda r: F.struct(
-            r["p"].alias("p"), r["n"].alias("n"), F.transform(r["b"], lambda _, i: total(r["b"], F.lit(1), i)).alias("a")
-        ),
-    )
+    blocks = lambda n: F.sequence(F.lit(0), F.floor((F.size(n) - 1) / step).cast("int"))
+    sizes = F.transform(F.array(F.transform(pieces, lambda p: F.length(p))), lambda n: F.struct(n.alias("n")))
+    summed = F.transform(sizes, lambda r: F.struct(r["n"].alias("n"), F.transform(blocks(r["n"]), lambda b: total(r["n"], b * step + 1, F.lit(step))).alias("b")))
+    ahead = F.transform(summed, lambda r: F.struct(r["n"].alias("n"), F.transform(r["b"], lambda _, i: total(r["b"], F.lit(1), i)).alias("a")))
 
-    def place(r: Column, p: Column, i: Column) -> Column:
+    def place(r: Column, i: Column) -> Column:
         block = F.floor(i / step).cast("int")
-        at = F.element_at(r["a"], block + 1) + total(r["n"], block * step + 1, i - block * step)
-        begin = at + F.length(p) - F.length(F.ltrim(p, F.lit(_TRIM)))
-        return F.struct(begin.alias("start"), (at + F.length(F.rtrim(p, F.lit(_TRIM)))).alias("end"))
+        return F.element_at(r["a"], block + 1) + total(r["n"], block * step + 1, i - block * step)
 
-    spans = F.transform(ahead, lambda r: F.transform(r["p"], lambda p, i: place(r, p, i)))
-    return F.filter(spans[0], lambda x: x["start"] < x["end"])
+    return F.transform(ahead, lambda r: F.transform(r["n"], lambda _, i: place(r, i)))[0]
+
+
+def _pieces(docs: DataFrame, *kept: str) -> DataFrame:
+    filled = docs.filter(F.col("text").isNotNull())
+    return filled.select(*kept, F.split(masked(F.col("text")), CUT).alias("_pieces"))
 
 
 def sentences(docs: DataFrame) -> DataFrame:
@@ -153,14 +180,13 @@ def sentences(docs: DataFrame) -> DataFrame:
     and blank texts have no sentences. Private-use characters of the text that serve
     as placeholders here are read as unknown characters.
     """
-    filled = docs.filter(F.col("text").isNotNull())
-    return filled.select("doc", F.inline(sentence_spans(F.col("text")))).withColumnsRenamed({"start": "sent_start", "end": "sent_end"})
+    spans = _pieces(docs, "doc").select("doc", F.inline(sentence_spans(F.col("_pieces")))).filter("start < end")
+    return spans.withColumnsRenamed({"start": "sent_start", "end": "sent_end"})
 
 
 def sentence_texts(docs: DataFrame) -> DataFrame:
     """As :func:`sentences`, with the restored text of each as ``sentence``."""
-    filled = docs.filter(F.col("text").isNotNull())
-    spans = filled.select("doc", "text", F.inline(sentence_spans(F.col("text"))))
+    spans = _pieces(docs, "doc", "text").select("doc", "text", F.inline(sentence_spans(F.col("_pieces")))).filter("start < end")
     return spans.select(
         "doc", F.col("start").alias("sent_start"), F.col("end").alias("sent_end"),
         F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("sentence"),
