@@ -16,7 +16,6 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from weftline.session import broadcast_if_small, clean_label, parallelism
 
@@ -26,9 +25,6 @@ BUCKET_ROWS = 150_000
 HOT_ROWS = 50_000
 SLICE_SECONDS = 86_400
 
-_EVENT = "_event bigint, _entity bigint, _period int, _at bigint"
-_VERSION = "_version bigint, _entity bigint, _first int, _last int, _from int, _known bigint"
-
 _SQL = """
 WITH ev AS (
   SELECT _event, _entity, _period, min(_at) AS _at FROM events GROUP BY ALL
@@ -119,7 +115,7 @@ def asof_versions(events: DataFrame, versions: DataFrame, spec: AsofSpec = AsofS
     joined = (
         left.groupBy("_bucket")
         .cogroup(right.groupBy("_bucket"))
-        .applyInArrow(_bucket_join, T._parse_datatype_string("_event bigint, _version bigint, _known bigint"))
+        .applyInArrow(_bucket_join, "_event bigint, _version bigint, _known bigint")
     )
     lacking = events.filter(F.col("_entity").isNull() | F.col("_period").isNull() | F.col("_at").isNull())
     lacking = lacking.select("_event", F.lit(None).cast("bigint").alias("_version"), F.lit(None).cast("bigint").alias("_known")).distinct()

@@ -109,14 +109,16 @@ def strongest_with_validity(df: DataFrame, keys: list[str], seq: str, weight: st
     """One row per key by a fold in the order of ``seq``.
 
     A heavier duplicate replaces the kept row with its own interval; one of equal or
-    less weight cuts the kept interval down to what both share. Null ends are open.
+    less weight cuts the kept interval down to what both share. Null ends are open, and
+    a null weight is less than any other.
     """
     item = F.struct(F.col(seq).alias("q"), F.col(weight).cast("double").alias("w"), F.col(low).cast("int").alias("l"), F.col(high).cast("int").alias("h"))
     rows = F.array_sort(F.collect_list(item))
 
     def step(acc: Column, x: Column) -> Column:
         cut = F.struct(acc["q"].alias("q"), acc["w"].alias("w"), F.greatest(acc["l"], x["l"]).alias("l"), F.least(acc["h"], x["h"]).alias("h"))
-        return F.when(x["w"] > acc["w"], x).otherwise(cut)
+        least = F.lit(float("-inf"))
+        return F.when(F.coalesce(x["w"], least) > F.coalesce(acc["w"], least), x).otherwise(cut)
 
     grouped = df.groupBy(*keys).agg(rows.alias("r"))
     folded = grouped.select(*keys, F.aggregate(F.slice("r", 2, 2_000_000_000), F.col("r")[0], step).alias("x"))
