@@ -246,7 +246,7 @@ def label_propagation(spark, d):
     return graph.label_propagation(pairs)
 
 
-@query("""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT q.vec_id AS a, e.vec_id AS b, list_cosine_similarity(q.embedding, e.embedding) AS c
+@query("""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT q.vec_id AS a, e.vec_id AS b, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS c
 FROM q JOIN embeddings e ON q.vec_id <> e.vec_id) SELECT a, b, round(c, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS r FROM s) WHERE r <= 5""")
 def vector_topk(spark, d):
     """Five nearest rows of each query row (every row whose id is divisible by 20) by exact cosine, queries in blocks."""
@@ -300,3 +300,125 @@ def dedupe_strongest(spark, d):
     v = graph.canonical(versions(spark, d)).filter("kind = 'friendship'")
     kept = sequences.strongest_with_validity(v.withColumn("w", F.col("w").cast("double")), ["src", "dst"], "row_id", "w", "vf", "vt")
     return kept.select("src", "dst", F.round("w", 6).alias("w"))
+
+
+# ---- more of the graph
+
+
+_ACTIVE = "(vf IS NULL OR vf <= {y}) AND (vt IS NULL OR CASE WHEN retired THEN {y} < vt ELSE {y} <= vt END)"
+_UNIFORM = "CAST('0x' || substr(md5({k}), 1, 12) AS BIGINT) / pow(16, 12)"
+
+
+@query(f"""SELECT kind, count(*) AS n FROM ({_VERSIONS}) WHERE {_ACTIVE.format(y=2012)} AND {_UNIFORM.format(k="'42|' || row_id || '|2012'")} < 0.3 + 0.7 * coalesce(w, 0) GROUP BY kind""")
+def soft_activation(spark, d):
+    v = versions(spark, d).withColumn("w", F.col("w").cast("double"))
+    return v.filter(graph.soft_active(2012)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH a AS (SELECT row_id, kind, {_UNIFORM.format(k="'7|' || row_id")} AS u FROM ({_VERSIONS}) WHERE {_ACTIVE.format(y=2015)})
+SELECT kind, row_id FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY u, row_id) AS r FROM a) WHERE r <= 25""")
+def family_sample(spark, d):
+    """25 active versions of each kind, drawn by hash; the sample is the feature."""
+    now = graph.as_of(versions(spark, d), 2015)
+    return sampling.capped(now, ["kind"], [S.key_uniform(7, F.col("row_id")), "row_id"], 25).select("kind", "row_id")
+
+
+@query(f"""WITH a AS (SELECT DISTINCT src, dst, w FROM ({_VERSIONS}) WHERE kind = 'friendship' AND {_ACTIVE.format(y=2010)}),
+n AS (SELECT src AS v, dst AS o, w FROM a UNION SELECT dst, src, w FROM a), b AS (SELECT v, o, max(coalesce(w, 0)) AS w FROM n GROUP BY ALL),
+h AS (SELECT *, row_number() OVER (PARTITION BY v ORDER BY w DESC, o) AS h, {_UNIFORM.format(k="'42|' || o")} AS u FROM b)
+SELECT v, o FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY (h <= 4) DESC, u, o) AS r FROM h) WHERE r <= 6""")
+def frontier_sample(spark, d):
+    """Up to six friends of each person: the four closest and others drawn."""
+    near = graph.neighbours(versions(spark, d), "friendship", 2010).groupBy("v", F.col("w").alias("o")).agg(F.max(F.coalesce("weight", F.lit(0.0))).alias("w"))
+    return sampling.top_and_explore(near, ["v"], "w", "o", 6).select("v", "o")
+
+
+@query(f"""WITH f AS ({_KIND.format(v=_VERSIONS, k='clique')}), n AS (SELECT src AS v, dst AS w FROM f UNION ALL SELECT dst, src FROM f),
+m AS (SELECT x.w AS src, y.w AS dst, count(*) AS n_via FROM n x JOIN n y ON x.v = y.v AND x.w < y.w WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.src = x.w AND f.dst = y.w) GROUP BY ALL)
+SELECT src, dst, n_via FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n_via DESC, dst) AS r FROM m WHERE {_UNIFORM.format(k="'42|' || src || '|' || dst")} < 0.4) WHERE r <= 8""")
+def triadic_closure(spark, d):
+    return graph.triadic_closure(joins.undirected(versions(spark, d).filter("kind = 'clique'")), 0.4).select("src", "dst", "n_via")
+
+
+@query(f"""WITH p AS (SELECT x.person AS a, y.person AS b, count(*) AS n FROM ({_CASTS}) x JOIN ({_CASTS}) y ON x.title_id = y.title_id AND x.person < y.person GROUP BY ALL HAVING count(*) >= 3),
+f AS ({_KIND.format(v=_VERSIONS, k='collaboration')})
+SELECT a, b, n, CASE WHEN n >= 10 THEN 0.40 WHEN n >= 4 THEN 0.25 ELSE 0.15 END::DOUBLE AS weight FROM p WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.src = a AND f.dst = b)""")
+def coappearance_edges(spark, d):
+    """Pairs of a cast that meet often and aren't linked yet, with a weight by how often."""
+    from weftline.operators.reshape import collaborations
+
+    credits = casts(spark, d).select(F.col("title_id").alias("film"), "person", F.col("person").alias("nth"), "year")
+    met = collaborations(credits, billed=1_000, least=3)
+    linked = joins.undirected(versions(spark, d).filter("kind = 'collaboration'")).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    weight = F.when(F.col("n") >= 10, 0.40).when(F.col("n") >= 4, 0.25).otherwise(0.15)
+    return met.join(linked, ["a", "b"], "left_anti").select("a", "b", "n", weight.alias("weight"))
+
+
+@query("""WITH p AS (SELECT person_id AS id, min(cand_community) AS c FROM person LEFT JOIN (SELECT pid, max(cand_community) AS cand_community FROM cast_year_cache WHERE cand_community >= 0 GROUP BY pid) ON pid = person_id GROUP BY 1),
+k AS (SELECT row_number() OVER (ORDER BY c) - 1 AS nth, c AS community FROM (SELECT DISTINCT c FROM p WHERE c IS NOT NULL)), n AS (SELECT count(*) AS n FROM k)
+SELECT p.id, coalesce(p.c, k.community) AS community FROM p CROSS JOIN n LEFT JOIN k ON p.c IS NULL AND k.nth = CAST('0x' || substr(md5(p.id::VARCHAR), 1, 8) AS BIGINT) % n.n""")
+def community_fill(spark, d):
+    """People without a community get one of those there are, by the hash of their id."""
+    from weftline.operators.ranking import dense_ids
+
+    known = table(spark, d, "cast_year_cache").filter("cand_community >= 0").groupBy(F.col("pid").alias("id")).agg(F.max("cand_community").alias("community"))
+    people = table(spark, d, "person").select(F.col("person_id").alias("id")).distinct().join(known, "id", "left")
+    names = dense_ids(people.filter("community IS NOT NULL").select("community").distinct(), ["community"], "nth", 0)
+    return graph.fill_community(people, names)
+
+
+@query(f"""SELECT kind, count(*) AS n, round(avg(w), 5) AS mean_weight, count_if(kind IN ('rivalry', 'avoid', 'blacklist', 'market_rival')) AS negative,
+count(DISTINCT src) AS sources, round(count(*)::DOUBLE / (SELECT count(DISTINCT row_id) FROM edges), 6) AS share FROM ({_VERSIONS}) GROUP BY kind""")
+def quality_summary(spark, d):
+    from pyspark.sql import Window
+
+    got = versions(spark, d).groupBy("kind").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("w").cast("double")), 5).alias("mean_weight"),
+        F.count_if(F.col("kind").isin(*graph.NEGATIVE)).alias("negative"), F.countDistinct("src").alias("sources"),
+    )
+    return got.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
+
+
+@query(f"""WITH c AS (SELECT DISTINCT company_id AS id FROM company WHERE tier = 'Global'), p AS (SELECT person AS id FROM ({_CASTS}) GROUP BY 1 HAVING count(*) >= 25),
+k AS (SELECT unnest(['employment', 'blacklist']) AS kind) SELECT c.id AS company, p.id AS person, k.kind, count(e.row_id) > 0 AS linked
+FROM c CROSS JOIN p CROSS JOIN k LEFT JOIN (SELECT * FROM ({_VERSIONS}) WHERE {_ACTIVE.format(y=2012)}) e ON e.src = c.id AND e.dst = p.id AND e.kind = k.kind GROUP BY ALL""")
+def pair_probe(spark, d):
+    """Whether the largest companies and the busiest people are linked: short lists, so every pair is asked."""
+    company = table(spark, d, "company").filter("tier = 'Global'").select(F.col("company_id").alias("company")).distinct()
+    busy = casts(spark, d).groupBy(F.col("person")).agg(F.count(F.lit(1)).alias("n")).filter("n >= 25").select("person")
+    kinds = spark.createDataFrame([("employment",), ("blacklist",)], "kind string")
+    # companies and kinds are fixed lists, so each person comes that many times and no more
+    asked = busy.join(F.broadcast(company.crossJoin(kinds)))
+    now = graph.as_of(versions(spark, d), 2012).select(F.col("src").alias("company"), F.col("dst").alias("person"), "kind").distinct().withColumn("linked", F.lit(True))
+    return asked.join(now, ["company", "person", "kind"], "left").select("company", "person", "kind", F.coalesce("linked", F.lit(False)).alias("linked"))
+
+
+@query("""WITH p AS (SELECT person_id AS id, max_by(debut_year, recorded_at) AS a, max_by(retirement_year, recorded_at) AS b FROM person WHERE debut_year IS NOT NULL GROUP BY 1),
+c AS (SELECT DISTINCT row_id, src_id, dst_id, valid_from, valid_to FROM edges WHERE lower(trim(edge_type)) = 'friendship')
+SELECT row_id, greatest(valid_from, x.a, y.a) AS vf, least(valid_to, x.b, y.b) AS vt FROM c JOIN p x ON x.id = src_id JOIN p y ON y.id = dst_id
+WHERE least(valid_to, x.b, y.b) IS NULL OR greatest(valid_from, x.a, y.a) <= least(valid_to, x.b, y.b)""")
+def validity_from_timelines(spark, d):
+    """Friendships cut to the years in which both people worked; pairs that never did are left out."""
+    people = table(spark, d, "person").filter("debut_year IS NOT NULL").groupBy(F.col("person_id").alias("id")).agg(
+        F.max_by("debut_year", "recorded_at").alias("a"), F.max_by(F.coalesce("retirement_year", F.lit(-1)), "recorded_at").alias("b"))
+    people = people.withColumn("b", F.when(F.col("b") >= 0, F.col("b")))
+    v = versions(spark, d).filter("kind = 'friendship'")
+    joined = v.join(people.select(F.col("id").alias("src"), F.col("a").alias("xa"), F.col("b").alias("xb")), "src").join(
+        people.select(F.col("id").alias("dst"), F.col("a").alias("ya"), F.col("b").alias("yb")), "dst")
+    cut = joined.select("row_id", F.greatest("vf", "xa", "ya").alias("vf"), F.least("vt", "xb", "yb").alias("vt"))
+    return cut.filter("vt IS NULL OR vf <= vt")
+
+
+@query("""WITH p AS (SELECT person_id AS id, list_sort(list_distinct(list_filter(flatten(list(list_transform(regexp_split_to_array(coalesce(style_tags, ''), '[;,|]'), lambda x: trim(x)))), lambda x: x <> ''))) AS tags,
+ max(lower(trim(career_stage))) AS stage, max(nationality) AS nation, min(debut_year) AS debut FROM person GROUP BY 1)
+SELECT a, b, score FROM (SELECT x.id AS a, y.id AS b, round(0.6 * CASE WHEN len(list_distinct(list_concat(x.tags, y.tags))) = 0 THEN 0 ELSE len(list_intersect(x.tags, y.tags))::DOUBLE / len(list_distinct(list_concat(x.tags, y.tags))) END
+ + 0.4 * greatest(0, 1 - abs(x.debut - y.debut) / 50.0::DOUBLE), 6) AS score, row_number() OVER (PARTITION BY x.id ORDER BY round(0.6 * CASE WHEN len(list_distinct(list_concat(x.tags, y.tags))) = 0 THEN 0 ELSE len(list_intersect(x.tags, y.tags))::DOUBLE / len(list_distinct(list_concat(x.tags, y.tags))) END
+ + 0.4 * greatest(0, 1 - abs(x.debut - y.debut) / 50.0::DOUBLE), 6) DESC, y.id) AS r
+FROM p x JOIN p y ON x.stage = y.stage AND x.nation = y.nation AND x.debut = y.debut AND x.id <> y.id) WHERE r <= 3""")
+def similar_people(spark, d):
+    """Three most alike people of the same stage, nation and first year."""
+    people = table(spark, d, "person").groupBy("person_id").agg(
+        F.array_distinct(F.flatten(F.collect_list(S.split_list(F.coalesce("style_tags", F.lit("")))))).alias("tags"),
+        F.max(F.lower(F.trim("career_stage"))).alias("stage"), F.max("nationality").alias("nation"), F.min("debut_year").alias("debut"))
+    score = lambda x, y: F.round(0.6 * S.jaccard(x("tags"), y("tags")) + 0.4 * F.greatest(F.lit(0.0), 1 - F.abs(x("debut") - y("debut")) / 50.0), 6)
+    return joins.block_scores(people, "person_id", ["stage", "nation", "debut"], score, 3)
