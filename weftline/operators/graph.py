@@ -224,9 +224,9 @@ def fill_community(people: DataFrame, communities: DataFrame) -> DataFrame:
 
     ``people`` has ``id, community``; ``communities`` has ``nth`` from 0 and ``community``.
     """
-    n = communities.agg(F.count(F.lit(1)).alias("n"))
-    slot = F.pmod(F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 8), 16, 10).cast("bigint"), F.col("n"))
-    missing = people.filter("community IS NULL").crossJoin(F.broadcast(n)).withColumn("nth", slot).drop("community", "n")
+    n = communities.agg(F.count(F.lit(1))).scalar()
+    slot = F.pmod(F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 8), 16, 10).cast("bigint"), n)
+    missing = people.filter("community IS NULL").select("id", slot.alias("nth"))
     filled = missing.join(communities, "nth").select("id", "community")
     return people.filter("community IS NOT NULL").select("id", "community").unionByName(filled)
 

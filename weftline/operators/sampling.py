@@ -50,10 +50,9 @@ def share_band(df: DataFrame, flag: Column, order: list, low: float, high: float
     counted = marked.agg(F.count_if(F.col("_f")).alias("nf"), F.count_if(~F.col("_f")).alias("nu"))
     most = F.floor(F.col("nu") * high / (1 - high))
     others = F.when(F.lit(low) > 0, F.floor(F.col("nf") * (1 - low) / low)).otherwise(F.col("nu"))
-    limits = counted.select(F.least("nf", most).alias("_mf"), F.least("nu", others).alias("_mu"))
+    most_flagged, most_others = counted.select(F.least("nf", most)).scalar(), counted.select(F.least("nu", others)).scalar()
     rank = F.row_number().over(Window.partitionBy("_f").orderBy(*order))
-    kept = marked.withColumn("_r", rank).crossJoin(F.broadcast(limits))
-    return kept.filter(F.col("_r") <= F.when(F.col("_f"), F.col("_mf")).otherwise(F.col("_mu"))).drop("_f", "_r", "_mf", "_mu")
+    return marked.withColumn("_r", rank).filter(F.col("_r") <= F.when(F.col("_f"), most_flagged).otherwise(most_others)).drop("_f", "_r")
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list) -> DataFrame:

@@ -77,10 +77,10 @@ def top_share(df: DataFrame, value: str, percent: int = 1) -> DataFrame:
     """Share of the total that the greatest ``percent`` of rows hold, at least one row, ``top_share``."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("n")).withColumn("down", -F.col("x"))
     ranked = running_total(counts, ["down"], "n")
-    total = counts.agg(F.sum("n").alias("all"))
-    wanted = F.greatest(F.lit(1), F.floor(F.col("all") * percent / 100))
+    total = counts.agg(F.sum("n")).scalar()
+    wanted = F.greatest(F.lit(1), F.floor(total * percent / 100))
     taken = F.greatest(F.lit(0), F.least(F.col("n"), wanted - (F.col("upto") - F.col("n"))))
-    return ranked.crossJoin(F.broadcast(total)).agg((F.sum(taken * F.col("x")) / F.sum(F.col("n") * F.col("x"))).alias("top_share"))
+    return ranked.select("x", "n", taken.alias("_t")).agg((F.sum(F.col("_t") * F.col("x")) / F.sum(F.col("n") * F.col("x"))).alias("top_share"))
 
 
 def deviation_from_target(df: DataFrame, key: str, targets: dict[str, float]) -> DataFrame:

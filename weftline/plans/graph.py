@@ -379,18 +379,18 @@ def quality_summary(spark, d):
     return got.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
 
 
-@query(f"""WITH c AS (SELECT DISTINCT company_id AS id FROM company WHERE tier = 'Global'), p AS (SELECT person AS id FROM ({_CASTS}) GROUP BY 1 HAVING count(*) >= 25),
-k AS (SELECT unnest(['employment', 'blacklist']) AS kind) SELECT c.id AS company, p.id AS person, k.kind, count(e.row_id) > 0 AS linked
-FROM c CROSS JOIN p CROSS JOIN k LEFT JOIN (SELECT * FROM ({_VERSIONS}) WHERE {_ACTIVE.format(y=2012)}) e ON e.src = c.id AND e.dst = p.id AND e.kind = k.kind GROUP BY ALL""")
+@query(f"""WITH c AS (SELECT DISTINCT company_id AS id FROM company WHERE tier = 'Global'), p AS (SELECT person AS id FROM ({_CASTS}) GROUP BY 1 HAVING count(*) >= 25)
+SELECT DISTINCT src AS company, dst AS person, kind FROM ({_VERSIONS}) WHERE {_ACTIVE.format(y=2012)} AND kind IN ('employment', 'blacklist') AND src IN (FROM c) AND dst IN (FROM p)""")
 def pair_probe(spark, d):
-    """Whether the largest companies and the busiest people are linked: short lists, so every pair is asked."""
-    company = table(spark, d, "company").filter("tier = 'Global'").select(F.col("company_id").alias("company")).distinct()
-    busy = casts(spark, d).groupBy(F.col("person")).agg(F.count(F.lit(1)).alias("n")).filter("n >= 25").select("person")
-    kinds = spark.createDataFrame([("employment",), ("blacklist",)], "kind string")
-    # companies and kinds are fixed lists, so each person comes that many times and no more
-    asked = busy.join(F.broadcast(company.crossJoin(kinds)))
-    now = graph.as_of(versions(spark, d), 2012).select(F.col("src").alias("company"), F.col("dst").alias("person"), "kind").distinct().withColumn("linked", F.lit(True))
-    return asked.join(now, ["company", "person", "kind"], "left").select("company", "person", "kind", F.coalesce("linked", F.lit(False)).alias("linked"))
+    """Which of the largest companies and the busiest people are linked; the other pairs of both lists are not.
+
+    The links are probed with the lists, so the pairs of the lists are never made.
+    """
+    company = table(spark, d, "company").filter("tier = 'Global'").select(F.col("company_id").alias("company"))
+    busy = casts(spark, d).groupBy(F.col("person")).agg(F.count(F.lit(1)).alias("n")).filter("n >= 25")
+    now = graph.as_of(versions(spark, d).filter("kind IN ('employment', 'blacklist')"), 2012)
+    now = now.select(F.col("src").alias("company"), F.col("dst").alias("person"), "kind").distinct()
+    return now.join(company, "company", "left_semi").join(busy, "person", "left_semi").select("company", "person", "kind")
 
 
 @query("""WITH p AS (SELECT person_id AS id, max_by(debut_year, recorded_at) AS a, max_by(retirement_year, recorded_at) AS b FROM person WHERE debut_year IS NOT NULL GROUP BY 1),
