@@ -79,10 +79,10 @@ _GOES_ON = rf"(?![{_SPACE}]*[\p{{Ll}},;:،，、。.!?—–-])"
 #: A quotation or bracket whose last mark ends the sentence too. One at the start of a sentence
 #: is ended by its speaker, unless another follows.
 _CLOSING = (
-    rf"{_NO_LETTER}(?:[{_B_OPEN}]{_START}[^{_B_OPEN}{_B_SHUT}{BLANK}]{{0,1000}}[{_B_SHUT}]{_WITH_LAST}{_GOES_ON}"
-    rf"|{QUOTE}(?:{_SAID}[^{QUOTE}{Q_END}]{{0,1000}}{Q_END}{_WITH_LAST}{_GOES_ON}"
-    rf"|{_START}[^{QUOTE}{Q_END}]{{0,1000}}{Q_END}{_WITH_LAST}(?=[{_SPACE}]*[{_OPEN}])"
-    rf"|(?!{_START})[^{QUOTE}{Q_END}]{{0,1000}}{Q_END}{_WITH_LAST}(?=[{_SPACE}]+[\p{{Lu}}¿¡{_OPEN}])))"
+    rf"{_NO_LETTER}(?:[{_B_OPEN}]{_START}[^{_B_OPEN}{_B_SHUT}{BLANK}]*[{_B_SHUT}]{_WITH_LAST}{_GOES_ON}"
+    rf"|{QUOTE}(?:{_SAID}[^{QUOTE}{Q_END}]*{Q_END}{_WITH_LAST}{_GOES_ON}"
+    rf"|{_START}[^{QUOTE}{Q_END}]*{Q_END}{_WITH_LAST}(?=[{_SPACE}]*[{_OPEN}])"
+    rf"|(?!{_START})[^{QUOTE}{Q_END}]*{Q_END}{_WITH_LAST}(?=[{_SPACE}]+[\p{{Lu}}¿¡{_OPEN}])))"
 )
 _CUTS = (
     rf"{_NO_LETTER}(?=[{_END}{BLANK}\n])(?:"
@@ -115,9 +115,9 @@ def masked(text: Column) -> Column:
     s = sub(s, rf"\n(?=[{_SPACE.replace(chr(92) + 's', ' ' + chr(92) + 't' + chr(92) + 'r' + chr(92) + 'x0b' + chr(92) + 'f')}]*\n)", BLANK)
     s = sub(s, _MARKS, f"{QUOTE}$1$2$3$4$5$6$7$8$9{Q_END}")
     # from an opened quotation or bracket, or from the mark before, to the next mark inside
-    s = sub(s, rf"((?:\G(?!^)|{QUOTE})[^{QUOTE}{Q_END}{BLANK}{_END}]{{0,1000}})[{_END}](?!{_LAST})", f"$1{DOT}")
+    s = sub(s, rf"((?:\G(?!^)|{QUOTE})[^{QUOTE}{Q_END}{BLANK}{_END}]*)[{_END}](?!{_LAST})", f"$1{DOT}")
     brackets, closed = _B_OPEN + _B_SHUT, rf"(?=[^{_B_OPEN}{_B_SHUT}{BLANK}]{{0,1000}}[{_B_SHUT}])"
-    s = sub(s, rf"((?:\G(?!^)|{_NO_LETTER}[{_B_OPEN}])[^{brackets}{BLANK}{_END}]{{0,1000}})[{_END}](?!{_LAST}){closed}", f"$1{DOT}")
+    s = sub(s, rf"((?:\G(?!^)|{_NO_LETTER}[{_B_OPEN}])[^{brackets}{BLANK}{_END}]*)[{_END}](?!{_LAST}){closed}", f"$1{DOT}")
     s = sub(s, _MASKED, DOT)
     s = sub(s, _CLOSING, f"$0{CUT}")
     s = F.when(_has_thai(text), sub(s, _THAI_CUTS, f"$0{CUT}")).otherwise(s)
@@ -148,7 +148,7 @@ def _trimmed(p: Column, at: Column) -> Column:
 
 def _appended(pieces: Column) -> Column:
     start = F.struct(F.lit(0).alias("s"), F.array().cast("array<int>").alias("a"))
-    step = lambda acc, p: F.struct((acc["s"] + F.length(p)).alias("s"), F.concat(acc["a"], F.array(acc["s"])).alias("a"))
+    step = lambda acc, p: F.struct((acc["s"] + F.length(p)).alias("s"), F.array_append(acc["a"], acc["s"]).alias("a"))
     return F.aggregate(pieces, start, step, lambda acc: acc["a"])
 
 
