@@ -57,6 +57,17 @@ def test_pairs(spark):
     assert cooccurrence.pair_counts(df.limit(0), F.col("t"), F.col("ids"))[0].collect() == []
 
 
+def test_all_pairs_come_out(spark, tmp_path):
+    """Pairs that meet once are pairs too."""
+    from weftline.llm import plans
+
+    films = [(i, [1, 2]) for i in range(5)] + [(5, [1, 3]), (6, [2, 3, 4]), (7, [4, 3]), (8, [5])]
+    spark.createDataFrame(films, "title_id long, cast_ids array<long>").write.parquet(str(tmp_path / "cast_ensemble.parquet"))
+    got = {(r["person_a"], r["person_b"]): (r["n_ab"], r["lift"]) for r in plans.p6_all_pairs(spark, str(tmp_path)).collect()}
+    assert got == {(1, 2): (5, 1.25), (1, 3): (1, 0.5), (2, 3): (1, 0.5), (2, 4): (1, 0.75), (3, 4): (2, 3.0)}
+    assert [(r["person_a"], r["person_b"]) for r in plans.p6_pairs(spark, str(tmp_path)).collect()] == [(1, 2)]
+
+
 def test_stripes_in_small_batches(monkeypatch):
     import pyarrow as pa
 

@@ -40,20 +40,30 @@ def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return _untag(percentiles.percentiles(_tagged(spark, d), shares), "n_values", *map(percentiles.percent_name, shares))
 
 
-def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+def _pairs(spark: SparkSession, d: str, min_count: int) -> tuple[DataFrame, int]:
     cast = table(spark, d, "cast_ensemble")
-    # fewer than 5 common records are never a strong pair, so those stay in their task
-    pairs, items = cooccurrence.pair_counts(cast, F.col("title_id"), F.col("cast_ids"), min_count=5)
+    pairs, items = cooccurrence.pair_counts(cast, F.col("title_id"), F.col("cast_ids"), min_count)
     n = cooccurrence.record_count(cast, F.col("title_id"), F.col("cast_ids"))
     return cooccurrence.with_significance(pairs, items, n), n
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return cooccurrence.strong_pairs(*_pairs(spark, d)).select(F.col("a").alias("person_a"), F.col("b").alias("person_b"))
+    # fewer than 5 common records are never a strong pair, so those stay in their task
+    return cooccurrence.strong_pairs(*_pairs(spark, d, 5)).select(F.col("a").alias("person_a"), F.col("b").alias("person_b"))
+
+
+def _measures(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("person_a"), F.col("b").alias("person_b"), "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift"), F.round("llr", 4).alias("llr"))
 
 
 def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d)[0].select(F.col("a").alias("person_a"), F.col("b").alias("person_b"), "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift"), F.round("llr", 4).alias("llr"))
+    """Only pairs with at least 5 common films, as in its SQL; :func:`p6_all_pairs` has all."""
+    return _measures(_pairs(spark, d, 5)[0])
+
+
+def p6_all_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair that shares a film."""
+    return _measures(_pairs(spark, d, 1)[0])
 
 
 def _kinds(spark: SparkSession, d: str) -> DataFrame:
@@ -96,7 +106,7 @@ def p9_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_texts(docs).withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_percentiles, p6_found, p6_pairs, p7_containers, p7_fill, p8_found, p8_templates, p9_found, p9_sentences)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_percentiles, p6_found, p6_pairs, p6_all_pairs, p7_containers, p7_fill, p8_found, p8_templates, p9_found, p9_sentences)}
 
 _P5 = """
 WITH v AS (
@@ -139,4 +149,5 @@ ORACLE = {
     "p5_percentiles": _P5 + "SELECT * FROM p",
     "p6_found": _P6 + "SELECT person_a, person_b FROM k WHERE n_ab * n >= 8 * n_a * n_b",
     "p6_pairs": _P6 + f"SELECT person_a, person_b, n_ab, n_a, n_b, round(n_ab * n / (n_a::DOUBLE * n_b), 6) AS lift, round({_LLR}, 4) AS llr FROM k",
+    "p6_all_pairs": _P6.replace(" HAVING count(*) >= 5", "") + f"SELECT person_a, person_b, n_ab, n_a, n_b, round(n_ab * n / (n_a::DOUBLE * n_b), 6) AS lift, round({_LLR}, 4) AS llr FROM k",
 }
