@@ -39,6 +39,29 @@ def test_percentiles_bound_and_empty(spark):
     assert percentiles.percentiles(freq.limit(0)).collect() == []
 
 
+def test_percentiles_of_all_signs(spark):
+    """Zero and negative values count where asked for, each within the bound of its own size."""
+    values = [-(1.5**i) for i in range(20)] + [0.0] * 5 + [1.5**i for i in range(20)]
+    df = spark.createDataFrame([("a", v) for v in [*values, math.nan, -math.inf, None]], "g string, v double")
+    for e in (0.0, 0.01):
+        freq = percentiles.frequency_table(df, F.col("g"), F.col("v"), e, above_zero=False)
+        got = percentiles.percentiles(freq, ("0.1", "0.4", "0.5", "0.9")).first()
+        assert got["n_values"] == 45
+        for p in (10, 40, 50, 90):
+            assert abs(got[f"p{p}"] - nearest(values, p)) <= abs(nearest(values, p)) * (e * 1.01)
+
+
+def test_percentiles_of_every_field(spark):
+    from weftline.llm import plans
+
+    folder = "/root/testdata/sf0.001"
+    fin = spark.read.parquet(f"{folder}/movie_context.parquet").select("fin.*")
+    numbers = {n for n, kind in fin.dtypes if kind in ("int", "bigint", "double")}
+    got = plans.p5_fields(spark, folder).collect()
+    assert {r["field"] for r in got if r["table_name"] == "movie_context"} == numbers
+    assert min(r["p5"] for r in got if r["field"] == "company_momentum") < 0
+
+
 def test_pairs(spark):
     rng = random.Random(6)
     records = [(i, [rng.choice([1, 1, 2, 3, rng.randint(4, 60), 0, -1, None]) for _ in range(rng.randint(0, 9))]) for i in range(400)]

@@ -18,23 +18,25 @@ from pyspark.sql import functions as F
 from weftline.session import checkpoint, parallelism
 
 
-def frequency_table(df: DataFrame, group: Column, value: Column, relative_error: float = 0.0) -> DataFrame:
-    """``grp, val, n``: how often each finite value above 0 occurs in each group.
-
-    With ``relative_error`` 0 the table is exact. Otherwise values are rounded to
-    powers of ``(1 + e) / (1 - e)``, so a percentile differs from the exact one by at
-    most that share of it, and the table has at most some thousand rows a group
-    however many values there are. Null groups and null, NaN, infinite, zero and
-    negative values are left out.
+def frequency_table(df: DataFrame, group: Column, value: Column, relative_error: float = 0.0, above_zero: bool = True) -> DataFrame:
+    """``grp, val, n``: how often each finite value, or each above 0, occurs in each group.
+
+    With ``relative_error`` 0 the table is exact. Otherwise sizes are rounded to
+    powers of ``(1 + e) / (1 - e)`` under their sign, and 0 stays, so a percentile
+    differs from the exact one by at most that share of it, and the table has at most
+    some thousand rows a group however many values there are. Null groups and null,
+    NaN and infinite values are left out; with ``above_zero`` zero and negative ones too.
     """
     value = value.cast("double")
     kept = df.select(group.alias("grp"), value.alias("val")).filter(
-        F.col("grp").isNotNull() & (F.col("val") > 0) & ~F.isnan("val") & (F.col("val") != float("inf"))
+        F.col("grp").isNotNull() & F.col("val").isNotNull() & ~F.isnan("val") & (F.abs("val") != float("inf"))
     )
+    if above_zero:
+        kept = kept.filter(F.col("val") > 0)
     if relative_error:
         step = math.log((1 + relative_error) / (1 - relative_error))
-        power = F.ceil(F.log("val") / step - F.lit(1e-12))
-        kept = kept.withColumn("val", F.exp(power * step) * F.lit(1 - relative_error))
+        power = F.ceil(F.log(F.abs("val")) / step - F.lit(1e-12))
+        kept = kept.withColumn("val", F.when(F.col("val") == 0, 0.0).otherwise(F.signum("val") * F.exp(power * step) * F.lit(1 - relative_error)))
     return kept.groupBy("grp", "val").agg(F.count(F.lit(1)).alias("n"))
 
 

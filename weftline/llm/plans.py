@@ -35,9 +35,33 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return _untag(percentiles.wide_groups(percentiles.percentiles(_tagged(spark, d))))
 
 
+_SHARES = ("0.05", "0.25", "0.5", "0.75", "0.95", "0.99")
+#: The numbers in movie_context.fin.
+_FIN = (
+    "budget_usd", "box_office_usd", "rating", "runtime_minutes", "num_votes", "award_campaign_strength", "market_factor",
+    "performance_ratio", "market_regime_score", "company_momentum", "director_momentum", "genre_heat", "slate_pressure",
+)
+
+
 def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    shares = ("0.05", "0.25", "0.5", "0.75", "0.95", "0.99")
-    return _untag(percentiles.percentiles(_tagged(spark, d), shares), "n_values", *map(percentiles.percent_name, shares))
+    """Of ``p5_found``'s two columns above 0, as in its SQL; :func:`p5_fields` has all numbers."""
+    return _untag(percentiles.percentiles(_tagged(spark, d), _SHARES), "n_values", *map(percentiles.percent_name, _SHARES))
+
+
+def p5_fields(spark: SparkSession, d: str) -> DataFrame:
+    """All finite values of every number of a film by genre, and of the cast's weight by year."""
+    label = lambda *parts: F.concat_ws("/", *parts)
+    genre = clean_label(F.col("concept.genre")).alias("g")
+    once = table(spark, d, "movie_context").select("mid", genre, *[F.col(f"fin.{f}").cast("double").alias(f) for f in _FIN]).distinct()
+    films = once.filter("g IS NOT NULL").unpivot(["g"], list(_FIN), "field", "v")
+    people = table(spark, d, "cast_year_cache").filter("year IS NOT NULL").select("cache_id", "year", "pop_weight").distinct()
+    freq = percentiles.merge_frequencies(
+        percentiles.frequency_table(films, label(F.lit("movie_context"), "field", "g"), F.col("v"), above_zero=False),
+        percentiles.frequency_table(people, label(F.lit("cast_year_cache/pop_weight"), F.col("year").cast("string")), F.col("pop_weight"), above_zero=False),
+    )
+    parts = F.split("grp", "/", 3)
+    got = percentiles.percentiles(freq, _SHARES)
+    return got.select(parts[0].alias("table_name"), parts[1].alias("field"), parts[2].alias("group_key"), "n_values", *map(percentiles.percent_name, _SHARES))
 
 
 def _pairs(spark: SparkSession, d: str, min_count: int) -> tuple[DataFrame, int]:
@@ -106,7 +130,7 @@ def p9_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_texts(docs).withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_percentiles, p6_found, p6_pairs, p6_all_pairs, p7_containers, p7_fill, p8_found, p8_templates, p9_found, p9_sentences)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_percentiles, p5_fields, p6_found, p6_pairs, p6_all_pairs, p7_containers, p7_fill, p8_found, p8_templates, p9_found, p9_sentences)}
 
 _P5 = """
 WITH v AS (
@@ -125,6 +149,21 @@ WITH v AS (
   FROM r GROUP BY ALL
 )
 """
+_P5_FIELDS = (
+    "WITH m AS (SELECT DISTINCT mid, lower(trim(concept.genre)) AS g, fin FROM movie_context), v AS (\n"
+    + "".join(f"  SELECT 'movie_context' AS table_name, '{f}' AS field, g AS group_key, fin.{f}::DOUBLE AS v FROM m UNION ALL\n" for f in _FIN)
+    + """  SELECT 'cast_year_cache', 'pop_weight', CAST(year AS VARCHAR), pop_weight FROM (SELECT DISTINCT cache_id, year, pop_weight FROM cast_year_cache)
+), r AS (
+  SELECT * REPLACE (CASE WHEN v = 0 THEN 0 ELSE v END AS v), row_number() OVER (PARTITION BY table_name, field, group_key ORDER BY v) AS rn, count(*) OVER (PARTITION BY table_name, field, group_key) AS n
+  FROM v WHERE isfinite(v) AND group_key IS NOT NULL
+)
+SELECT table_name, field, group_key, any_value(n) AS n_values,
+       min(CASE WHEN rn * 100 >= 5 * n THEN v END) AS p5, min(CASE WHEN rn * 100 >= 25 * n THEN v END) AS p25,
+       min(CASE WHEN rn * 100 >= 50 * n THEN v END) AS p50, min(CASE WHEN rn * 100 >= 75 * n THEN v END) AS p75,
+       min(CASE WHEN rn * 100 >= 95 * n THEN v END) AS p95, min(CASE WHEN rn * 100 >= 99 * n THEN v END) AS p99
+FROM r GROUP BY ALL
+"""
+)
 _P6 = """
 WITH r AS (
   SELECT DISTINCT title_id, person FROM (SELECT title_id, unnest(cast_ids) AS person FROM cast_ensemble) WHERE person > 0
@@ -147,6 +186,7 @@ _LLR = "2 * (" + " + ".join(
 ORACLE = {
     "p5_found": _P5 + "SELECT table_name, group_key FROM p WHERE p95 >= 40 * p50",
     "p5_percentiles": _P5 + "SELECT * FROM p",
+    "p5_fields": _P5_FIELDS,
     "p6_found": _P6 + "SELECT person_a, person_b FROM k WHERE n_ab * n >= 8 * n_a * n_b",
     "p6_pairs": _P6 + f"SELECT person_a, person_b, n_ab, n_a, n_b, round(n_ab * n / (n_a::DOUBLE * n_b), 6) AS lift, round({_LLR}, 4) AS llr FROM k",
     "p6_all_pairs": _P6.replace(" HAVING count(*) >= 5", "") + f"SELECT person_a, person_b, n_ab, n_a, n_b, round(n_ab * n / (n_a::DOUBLE * n_b), 6) AS lift, round({_LLR}, 4) AS llr FROM k",
