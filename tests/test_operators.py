@@ -168,3 +168,24 @@ def test_sources_round_trip(spark, tmp_path):
     assert sorted(r["id"] for r in keyed.collect()) == [5, 6, 7]
     tables = {"title": contract.conform(spark.range(2), contract.core_schema("title")), "movie_keyword": back}
     assert {(r["column_name"], r["n_keys"]) for r in contract.broken_keys(tables).collect()} == {("movie_id", 1), ("episode_of_id", 0)}
+
+
+def test_nearest_of_all(spark):
+    """All names within the edits are found, whatever they begin with."""
+    rng = random.Random(12)
+    names = ["".join(rng.choice("abA") for _ in range(rng.randint(0, 9))) for _ in range(150)] + ["Maro Lind", "Karo Lind", "aro Lindd"]
+    left, right = names[:100] + names[-3:], names[60:]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    frame = lambda xs: spark.createDataFrame([(x,) for x in [*xs, None]], "name string")
+    for edits in (1, 3):
+        got = {r["name"]: (r["edits"], r["match"]) for r in joins.nearest_of_all(frame(left), frame(right), edits).collect()}
+        want = {a: min((distance(a.lower(), b.lower()), b) for b in set(right) if b != a) for a in left}
+        assert got == {a: m for a, m in want.items() if m[0] <= edits}

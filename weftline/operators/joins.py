@@ -146,3 +146,28 @@ def without_one_filter(df: DataFrame, filters: dict[str, Column]) -> DataFrame:
     counts = [("", F.count_if(every(passed)))] + [(k, F.count_if(every([n for n in passed if n != k]))) for k in passed]
     one = df.agg(*[c.alias(f"_{i}") for i, (_, c) in enumerate(counts)])
     return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("dropped"), F.col(f"_{i}").alias("n")) for i, (k, _) in enumerate(counts)])))
+
+
+def nearest_of_all(left: DataFrame, right: DataFrame, edits: int = 3) -> DataFrame:
+    """``name, match, edits``: for each ``name`` of ``left`` the nearest other one of ``right``, at most ``edits`` away.
+
+    Lower-cased names are compared; of equally near ones the least counts. No pair is
+    missed: of ``edits + 1`` pieces of the other name one stays whole, and stands in
+    this one not further off than the edits before and behind it allow. Names too
+    short for that many pieces meet all names of a fitting length.
+    """
+    pieces, whole = edits + 1, "L >= {0}".format(edits + 1)
+    begin, end = f"IF({whole}, i * L DIV {pieces}, 0)", f"IF({whole}, (i + 1) * L DIV {pieces}, 0)"
+    each = f"explode(IF({whole}, sequence(0, {edits}), array(0)))"
+    r = right.select(F.col("name").alias("match")).filter("match IS NOT NULL").distinct().withColumn("m", F.lower("match")).withColumn("L", F.length("m"))
+    r = r.withColumn("i", F.expr(each)).withColumns({"s": F.expr(begin), "e": F.expr(end)})
+    r = r.select("match", "m", "L", "i", F.expr("substring(m, s + 1, e - s)").alias("piece"))
+    l = left.select("name").filter("name IS NOT NULL").distinct().withColumn("n", F.lower("name"))
+    l = l.withColumn("L", F.expr(f"explode(sequence(greatest(length(n) - {edits}, 0), length(n) + {edits}))")).withColumn("i", F.expr(each))
+    l = l.withColumns({"s": F.expr(begin), "e": F.expr(end), "d": F.length("n") - F.col("L")})
+    low = f"IF({whole}, greatest(s - i, s + d - ({edits} - i), 0), 0)"
+    high = f"IF({whole}, least(s + i, s + d + ({edits} - i), length(n) - (e - s)), 0)"
+    l = l.withColumns({"low": F.expr(low), "high": F.expr(high)}).filter("low <= high").withColumn("at", F.expr("explode(sequence(low, high))"))
+    l = l.select("name", "n", "L", "i", F.expr("substring(n, at + 1, e - s)").alias("piece")).distinct()
+    near = l.join(r, ["L", "i", "piece"]).filter("name <> match").withColumn("edits", F.levenshtein("n", "m", edits)).filter("edits >= 0")
+    return near.groupBy("name").agg(F.min(F.struct("edits", "match")).alias("_m")).select("name", "_m.match", "_m.edits")

@@ -247,7 +247,10 @@ ON left(a.name, 3) = left(b.name, 3) WHERE a.name <> b.name AND abs(length(a.nam
 r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY edits, match) AS k FROM m WHERE edits <= 3)
 SELECT name, match, edits FROM r WHERE k = 1""")
 def fuzzy_levenshtein(spark, d):
-    """For each person's name the nearest other name at the start of an edge."""
+    """For each person's name the nearest other name at the start of an edge among those with the same first three letters.
+
+    :func:`nearest_names` compares with all names.
+    """
     left = table(spark, d, "person").select("name").filter("name IS NOT NULL")
     right = table(spark, d, "edges").filter("src_type = 'person' AND src_name IS NOT NULL").select(F.col("src_name").alias("name"))
     l = left.distinct().withColumn("b", F.left("name", F.lit(3)))
@@ -257,6 +260,17 @@ def fuzzy_levenshtein(spark, d):
     return near.groupBy("name").agg(F.min(F.struct("edits", "match")).alias("m")).select("name", "m.match", "m.edits")
 
 
+@query("""WITH p AS (SELECT DISTINCT name FROM person WHERE name IS NOT NULL),
+m AS (SELECT a.name, b.name AS match, levenshtein(lower(a.name), lower(b.name)) AS edits FROM p a JOIN (SELECT DISTINCT src_name AS name FROM edges WHERE src_type = 'person' AND src_name IS NOT NULL) b
+ON a.name <> b.name AND abs(length(a.name) - length(b.name)) <= 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY edits, match) AS k FROM m WHERE edits <= 3)
+SELECT name, match, edits FROM r WHERE k = 1""")
+def nearest_names(spark, d):
+    """For each person's name the nearest other name at the start of an edge, of all within 3 edits whatever they begin with."""
+    right = table(spark, d, "edges").filter("src_type = 'person'").select(F.col("src_name").alias("name"))
+    return joins.nearest_of_all(table(spark, d, "person"), right)
+
+
 @query("""SELECT '' AS dropped, count_if(l_quantity > 30 AND l_discount < 0.05 AND l_returnflag = 'R') AS n FROM lineitem UNION ALL
 SELECT 'quantity', count_if(l_discount < 0.05 AND l_returnflag = 'R') FROM lineitem UNION ALL
 SELECT 'discount', count_if(l_quantity > 30 AND l_returnflag = 'R') FROM lineitem UNION ALL
