@@ -189,3 +189,34 @@ def test_nearest_of_all(spark):
         got = {r["name"]: (r["edits"], r["match"]) for r in joins.nearest_of_all(frame(left), frame(right), edits).collect()}
         want = {a: min((distance(a.lower(), b.lower()), b) for b in set(right) if b != a) for a in left}
         assert got == {a: m for a, m in want.items() if m[0] <= edits}
+
+
+def test_labels_settle_by_weight(spark):
+    """Two vertices alone settle instead of changing places; the heavier side wins; a cut run says so."""
+    pairs = [(1, 2, 0.5), (10, 11, 1.0), (10, 12, 1.0), (11, 12, 1.0), (12, 13, 0.9), (13, 14, 0.1), (20, 21, 1.0), (21, 22, 1.0), (22, 23, 1.0), (20, 23, 1.0)]
+    df = spark.createDataFrame(pairs, "src long, dst long, weight double")
+    got = graph.label_propagation(df).collect()
+    label = {r["v"]: r["label"] for r in got}
+    assert all(r["stable"] for r in got) and got[0]["rounds"] < 100
+    assert label[1] == label[2] and label[10] == label[11] == label[12] == label[13]
+    for v in label:  # no vertex has a heavier label next to it
+        votes: dict = {}
+        for a, b, w in pairs:
+            if v in (a, b):
+                other = label[b if v == a else a]
+                votes[other] = votes.get(other, 0) + w
+        assert votes[label[v]] == max(votes.values())
+    assert not all(r["stable"] for r in graph.label_propagation(df, 1).collect())
+
+
+def test_person_graph_is_whole(spark):
+    """Components span every kind between people, communities every friend."""
+    from weftline.plans import graph as plans
+    from weftline.plans.relational import versions
+
+    folder = "/root/testdata/sf0.001"
+    company = ["brand_fit", "employment", "blacklist", "exclusive_deal", "co_production", "market_rival", "subsidiary"]
+    v = versions(spark, folder).filter("src <> dst")
+    ends = lambda df: {x for r in df.select("src", "dst").collect() for x in r}
+    assert {r["v"] for r in plans.components(spark, folder).collect()} == ends(v.filter(~F.col("kind").isin(company)))
+    assert {r["v"] for r in plans.label_propagation(spark, folder).collect()} == ends(v.filter("kind = 'friendship'"))

@@ -197,26 +197,35 @@ def components(pairs: DataFrame, rounds: int = 50) -> DataFrame:
     return vertices.join(least, "v", "left").select("v", F.coalesce("m", "v").alias("component"))
 
 
-def label_propagation(pairs: DataFrame, rounds: int = 10) -> DataFrame:
-    """``v, label``: each vertex takes the label with the most weight among its neighbours, the least of equals.
-
-    All vertices move at once; ends when none moves, or after ``rounds``. ``pairs`` has
-    ``src, dst, weight``.
+def label_propagation(pairs: DataFrame, rounds: int = 100) -> DataFrame:
+    """``v, label, stable, rounds``: each vertex takes the label with the most weight among its neighbours, the least of equals.
+
+    All vertices move at once, but one that would go back to the label it has just left
+    moves only in the rounds that its hash draws, as pairs would change places for ever.
+    Ends when none would move, or after ``rounds``; ``stable`` says whether the vertex
+    would have stayed in the last of the ``rounds`` made. ``pairs`` has ``src, dst,
+    weight``; with decimal weights the sums don't depend on their order.
     """
     both = checkpoint(
         pairs.filter("src <> dst").select(F.col("src").alias("v"), F.col("dst").alias("w"), "weight").unionAll(
             pairs.filter("src <> dst").select(F.col("dst").alias("v"), F.col("src").alias("w"), "weight"))
     )
-    labels = both.select("v").distinct().withColumn("label", F.col("v"))
-    for _ in range(rounds):
-        votes = both.join(labels.select(F.col("v").alias("w"), "label"), "w").groupBy("v", "label").agg(F.sum("weight").alias("s"))
-        new = votes.groupBy("v").agg(F.max(F.struct("s", (-F.col("label")).alias("n"))).alias("b")).select("v", (-F.col("b.n")).alias("new"))
-        moved = checkpoint(labels.join(new, "v"))
-        n = moved.filter("new <> label").count()
-        labels = moved.select("v", F.col("new").alias("label"))
-        if not n:
+    state = both.select("v").distinct().select("v", F.col("v").alias("label"), F.lit(None).cast(both.schema["v"].dataType).alias("old"))
+    made = 0
+    for made in range(1, rounds + 1):
+        votes = both.join(state.select(F.col("v").alias("w"), "label"), "w").groupBy("v", "label").agg(F.sum("weight").alias("s"))
+        best = votes.groupBy("v").agg(F.max(F.struct("s", (-F.col("label")).alias("n"))).alias("b")).select("v", (-F.col("b.n")).alias("best"))
+        back = F.coalesce(F.col("best") == F.col("old"), F.lit(False))
+        goes = (F.col("best") != F.col("label")) & (~back | (F.pmod(F.xxhash64("v", F.lit(made)), F.lit(2)) == 0))
+        # one that stays keeps the label it came from, or it would count as moving on
+        moved = state.join(best, "v").select(
+            "v", F.when(goes, F.col("best")).otherwise(F.col("label")).alias("label"),
+            F.when(goes, F.col("label")).otherwise(F.col("old")).alias("old"), (F.col("best") == F.col("label")).alias("stable"),
+        )
+        state = checkpoint(moved)
+        if not state.filter("NOT stable").count():
             break
-    return labels
+    return state.select("v", "label", "stable" if made else F.lit(False).alias("stable"), F.lit(made).alias("rounds"))
 
 
 def fill_community(people: DataFrame, communities: DataFrame) -> DataFrame:

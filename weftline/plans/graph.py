@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import scalars as S
 from weftline.operators import graph, joins, sampling, sequences
+from weftline.operators.references import COMPANY_TO_COMPANY, COMPANY_TO_PERSON
 from weftline.plans.relational import _CASTS, _KIND, _VERSIONS, casts, versions
 from weftline.session import table
 
@@ -209,9 +210,16 @@ def induced_subgraph(spark, d):
 @query(f"""WITH f AS ({_KIND.format(v=_VERSIONS, k='chemistry')}), n AS (SELECT src AS v, dst AS w FROM f UNION ALL SELECT dst, src FROM f)
 SELECT x.w AS src, y.w AS dst, count(*) AS n_via FROM n x JOIN n y ON x.v = y.v AND x.w < y.w WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.src = x.w AND f.dst = y.w) GROUP BY ALL""")
 def transitive_pairs(spark, d):
+    """Over chemistry, as in its SQL; :func:`transitive_friends` is over friendship."""
     return graph.transitive_pairs(joins.undirected(versions(spark, d).filter("kind = 'chemistry'")))
 
 
+@query(f"""WITH f AS ({_KIND.format(v=_VERSIONS, k='friendship')}), n AS (SELECT src AS v, dst AS w FROM f UNION ALL SELECT dst, src FROM f)
+SELECT x.w AS src, y.w AS dst, count(*) AS n_via FROM n x JOIN n y ON x.v = y.v AND x.w < y.w WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.src = x.w AND f.dst = y.w) GROUP BY ALL""")
+def transitive_friends(spark, d):
+    return graph.transitive_pairs(joins.undirected(versions(spark, d).filter("kind = 'friendship'")))
+
+
 @query("""WITH t AS (SELECT DISTINCT id, tag FROM (SELECT person_id AS id, trim(unnest(regexp_split_to_array(style_tags, '[;,|]'))) AS tag FROM person) WHERE tag <> ''),
 k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY id) AS r FROM t) WHERE r <= 200)
 SELECT x.id AS a, y.id AS b, count(*) AS n_shared FROM k x JOIN k y ON x.tag = y.tag AND x.id < y.id GROUP BY ALL HAVING count(*) >= 2""")
@@ -236,14 +244,20 @@ def degree_percentiles(spark, d):
 
 @query(None)
 def components(spark, d):
-    """Connected groups of collaborators; held against a union-find in the tests."""
-    return graph.components(joins.undirected(versions(spark, d).filter("kind = 'clique'")))
+    """Connected groups over the edges of all kinds that join people; held against a union-find in the tests.
+
+    Ends without a person's record are vertices too.
+    """
+    others = (*COMPANY_TO_PERSON, *COMPANY_TO_COMPANY)
+    return graph.components(joins.undirected(versions(spark, d).filter(~F.col("kind").isin(*others))))
 
 
 @query(None)
 def label_propagation(spark, d):
-    pairs = joins.undirected(versions(spark, d).filter("kind = 'clique'")).withColumn("weight", F.lit(1.0))
-    return graph.label_propagation(pairs)
+    """Communities of friends; a pair weighs as much as its strongest version, and one without a weight 0.5."""
+    friends = graph.canonical(versions(spark, d)).filter("kind = 'friendship' AND src <> dst")
+    weight = F.coalesce(F.max("w").cast("decimal(9,6)"), F.lit(0.5).cast("decimal(9,6)"))
+    return graph.label_propagation(friends.groupBy("src", "dst").agg(weight.alias("weight")))
 
 
 @query("""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT q.vec_id AS a, e.vec_id AS b, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS c
@@ -337,9 +351,17 @@ def frontier_sample(spark, d):
 m AS (SELECT x.w AS src, y.w AS dst, count(*) AS n_via FROM n x JOIN n y ON x.v = y.v AND x.w < y.w WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.src = x.w AND f.dst = y.w) GROUP BY ALL)
 SELECT src, dst, n_via FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n_via DESC, dst) AS r FROM m WHERE {_UNIFORM.format(k="'42|' || src || '|' || dst")} < 0.4) WHERE r <= 8""")
 def triadic_closure(spark, d):
+    """Over cliques, as in its SQL; :func:`friend_closure` is over friendship."""
     return graph.triadic_closure(joins.undirected(versions(spark, d).filter("kind = 'clique'")), 0.4).select("src", "dst", "n_via")
 
 
+@query(f"""WITH f AS ({_KIND.format(v=_VERSIONS, k='friendship')}), n AS (SELECT src AS v, dst AS w FROM f UNION ALL SELECT dst, src FROM f),
+m AS (SELECT x.w AS src, y.w AS dst, count(*) AS n_via FROM n x JOIN n y ON x.v = y.v AND x.w < y.w WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.src = x.w AND f.dst = y.w) GROUP BY ALL)
+SELECT src, dst, n_via FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n_via DESC, dst) AS r FROM m WHERE {_UNIFORM.format(k="'42|' || src || '|' || dst")} < 0.4) WHERE r <= 8""")
+def friend_closure(spark, d):
+    return graph.triadic_closure(joins.undirected(versions(spark, d).filter("kind = 'friendship'")), 0.4).select("src", "dst", "n_via")
+
+
 @query(f"""WITH p AS (SELECT x.person AS a, y.person AS b, count(*) AS n FROM ({_CASTS}) x JOIN ({_CASTS}) y ON x.title_id = y.title_id AND x.person < y.person GROUP BY ALL HAVING count(*) >= 3),
 f AS ({_KIND.format(v=_VERSIONS, k='collaboration')})
 SELECT a, b, n, CASE WHEN n >= 10 THEN 0.40 WHEN n >= 4 THEN 0.25 ELSE 0.15 END::DOUBLE AS weight FROM p WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.src = a AND f.dst = b)""")
