@@ -220,3 +220,13 @@ def test_person_graph_is_whole(spark):
     ends = lambda df: {x for r in df.select("src", "dst").collect() for x in r}
     assert {r["v"] for r in plans.components(spark, folder).collect()} == ends(v.filter(~F.col("kind").isin(company)))
     assert {r["v"] for r in plans.label_propagation(spark, folder).collect()} == ends(v.filter("kind = 'friendship'"))
+
+
+def test_film_links_of_all_years(spark, tmp_path):
+    """Films of any year are linked, those without a year too."""
+    from weftline.plans import reshaping
+
+    films = [(1, 1970, [1, 2]), (2, 1990, [1, 2, 3]), (3, 2021, [2, 3, 1]), (4, None, [3, 2, 2]), (5, 1991, [3, 0, -1])]
+    spark.createDataFrame(films, "title_id long, year int, cast_ids array<long>").write.parquet(str(tmp_path / "cast_ensemble.parquet"))
+    got = {(r["source"], r["target"]): r["n_shared"] for r in reshaping.film_links(spark, str(tmp_path)).collect()}
+    assert got == {(1, 2): 2, (1, 3): 2, (2, 3): 3, (2, 4): 2, (3, 4): 2}

@@ -55,11 +55,19 @@ def collaborations(spark, d):
 @query(f"""WITH c AS ({_CASTS}) SELECT x.title_id AS source, y.title_id AS target, count(*) AS n_shared FROM c x JOIN c y ON x.person = y.person AND x.title_id <> y.title_id
 WHERE x.year < 1975 AND y.year >= 2020 GROUP BY ALL HAVING count(*) >= 2""")
 def shared_links(spark, d):
-    """Films of two periods with people in common."""
+    """Films before 1975 and from 2020 on with people in common, as in its SQL; :func:`film_links` takes all films."""
     c = casts(spark, d).select(F.col("title_id").alias("id"), F.col("person").alias("member"), "year")
     return reshape.shared_links(c.filter("year < 1975"), c.filter("year >= 2020"))
 
 
+@query(f"""WITH c AS (SELECT DISTINCT title_id, person FROM ({_CASTS})) SELECT x.title_id AS source, y.title_id AS target, count(*) AS n_shared
+FROM c x JOIN c y ON x.person = y.person AND x.title_id < y.title_id GROUP BY ALL HAVING count(*) >= 2""")
+def film_links(spark, d):
+    """All films with people in common, each pair once."""
+    c = casts(spark, d).select(F.col("title_id").alias("id"), F.col("person").alias("member"))
+    return reshape.shared_links(c, c).filter("source < target")
+
+
 @query(f"""WITH k AS (SELECT title_id, any_value(year) AS year, list_sort(list_distinct(list(person)))[1:8] AS h FROM ({_CASTS}) GROUP BY 1),
 u AS (SELECT title_id, year, unnest(h) AS p FROM k) SELECT x.year, x.p AS a, y.p AS b, count(*) AS n FROM u x JOIN u y ON x.title_id = y.title_id AND x.p < y.p GROUP BY ALL""")
 def yearly_context(spark, d):
