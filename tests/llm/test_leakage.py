@@ -47,10 +47,45 @@ def test_passages(spark):
     assert leakage.leaked_passages(df, items.limit(0)).collect() == [] == leakage.leaked_passages(df.limit(0), items).collect()
 
 
-def test_parts_of_long_texts():
-    text = "word " * 500_000
-    parts = [p for _, texts in leakage._parts([1], [text]) for p in texts]
-    assert len(parts) > 1 and all(len(p) <= leakage.CHARS_AT_ONCE + leakage.OVERLAP for p in parts)
+PROBES = [
+    (10, "en", "the caretaker of the old picture house kept every torn ticket in a tin box under the stairs until spring"),
+    (11, "de", "Donaudampfschifffahrtsgesellschaftskapitän Rindfleischetikettierungsüberwachungsaufgaben Kraftfahrzeughaftpflichtversicherung"),
+    (12, "en", "Anna Berghaus, Peter Oluwaseun Adeyemi, Maria Castellanos Ruiz, Johann Friedrich Wellenreuther, Fatima Haddad"),
+]
+
+
+def test_word_division_does_not_matter(spark):
+    """Blanks removed, words broken over lines, hyphens, compounds, runs of names, other numbers of blanks, very long texts."""
+    a, b, c = (t for _, _, t in PROBES)
+    forms = [
+        (a, 10), (a.replace(" ", ""), 10), ("Well. " + a.replace("er", "e-\nr") + "!", 10), (a.replace(" ", "-"), 10), (b, 11), (c, 12),
+        ("\n" * 30 + a.upper().replace(" ", " \u200b \n\n "), 10), ("y " * 700_000 + c.replace(" ", "") + " z" * 300_000, 12), (" ".join(b), 11),
+    ]
+    near = [a[:60].replace(" ", ""), c.replace("e", "a"), None]
+    docs = [(i, t) for i, (t, _) in enumerate(forms)] + [(100 + i, t) for i, t in enumerate(near)]
+    items = spark.createDataFrame(PROBES + ITEMS, "item long, lang string, text string")
+    docs = spark.createDataFrame(docs, "doc long, text string")
+    assert {(r["doc"], r["item"]) for r in leakage.leaked_passages(docs, items).collect()} == {(i, x) for i, (_, x) in enumerate(forms)}
+
+
+def test_random_cuts_against_brute_force(spark):
+    """Runs just below, at and above the least length, in letters, digits and characters, whatever the groups of texts."""
+    rng = random.Random(11)
+    alphabet = "abcdefgh0123456789 .,-éßﬁ½" + "电影年9"
+    items = [(i, rng.choice(["en", "zh", "ja", None]), "".join(rng.choice(alphabet) for _ in range(rng.choice([10, 70, 300])))) for i in range(30)]
+    docs = []
+    for i in range(300):
+        _, _, text = rng.choice(items)
+        a = rng.randint(0, max(0, len(text) - 20))
+        part = text[a : a + rng.choice([20, 24, 30, 55, 66, 80, 120])]
+        docs.append((i, "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 80))) + part + "".join(rng.choice(alphabet) for _ in range(9))))
+    got = leakage.leaked_passages(spark.createDataFrame(docs, "doc long, text string"), spark.createDataFrame(items, "item long, lang string, text string"))
+    assert {(r["doc"], r["item"]) for r in got.collect()} == {(d, it[0]) for d, t in docs for it in items if contains(t, it)}
+
+
+def test_long_texts_in_groups():
+    groups = list(leakage._grouped([1, 2, 3, 4], ["a" * 10, "b" * leakage.CHARS_AT_ONCE, "c", "d"]))
+    assert [g[0] for g in groups] == [[1], [2], [3, 4]]
 
 
 def test_reparameterised(spark):
