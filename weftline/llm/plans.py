@@ -183,13 +183,14 @@ _LLR = "2 * (" + " + ".join(
         ("n_b - n_ab", "n - n_a", "n_b"), ("n - n_a - n_b + n_ab", "n - n_a", "n - n_b"),
     )
 ) + ")"
-#: Letters and digits by what DuckDB has for decomposition; the tables hold nothing it folds otherwise.
-_P8 = """
+#: Full-width signs to plain ones, and what else of the tables DuckDB doesn't decompose.
+_WIDE, _PLAIN = "".join(map(chr, range(0xFF10, 0xFF5B))) + "ำ", "".join(map(chr, range(0x30, 0x7B))).replace("'", " ") + "า"
+_P8 = f"""
 WITH letters AS (
   SELECT 'd' AS side, doc_id AS id, 0 AS k, text FROM documents UNION ALL
   SELECT 'i', item_id, CASE WHEN lang IN ('zh', 'ja') THEN 24 ELSE 60 END, text FROM eval_items
 ), s AS (
-  SELECT side, id, k, regexp_replace(strip_accents(lower(replace(text, 'ß', 'ss'))), '[^\\p{L}\\p{N}]', '', 'g') AS s FROM letters WHERE text IS NOT NULL
+  SELECT side, id, k, regexp_replace(strip_accents(lower(translate(replace(replace(text, '№', 'no'), 'ß', 'ss'), '{_WIDE}', '{_PLAIN}'))), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS s FROM letters WHERE text IS NOT NULL
 ), w AS (
   SELECT DISTINCT id AS item_id, substr(s, p, k) AS x FROM s, unnest(range(1, length(s) - k + 2)) AS r(p) WHERE side = 'i'
 ), v AS (
