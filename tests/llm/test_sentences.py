@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from weftline.llm import sentences
 from weftline.llm.sentences import sentence_texts
 
 CASES = [
@@ -49,6 +50,57 @@ def test_layout_and_thai(spark):
     }
 
 
+LONG = "It went on. And on? " * 100
+
+
+@pytest.mark.parametrize("times", [1, 50])
+@pytest.mark.parametrize("marks", ["\"\"", "“”", "„“", "«»", "「」", "『』", "‘’", "''", "()", "（）", "[]"])
+def test_long_quotations_stay_whole(spark, marks, times):
+    """2,000 and 100,000 characters between two marks are one sentence with the words before them."""
+    inner = (LONG * times).strip()
+    want = [f"He read {marks[0]}{inner}{marks[1]} twice.", "It ended."]
+    got = sentence_texts(spark.createDataFrame([(1, " ".join(want))], "doc long, text string")).orderBy("sent_start").collect()
+    assert [r["sentence"] for r in got] == want
+
+
+ADDRESSES = [
+    ["See https://example.com/watch?v=9 now.", "Done."], ["See https://example.com/watch?V=9 now.", "Done."],
+    ["It is at https://Example.Com/A?Query=B!x and www.Example.Org/Zoo.", "Go."], ["Ask J.Smith@Example.Org or a.B@c.De.", "He knows."],
+    ["Read (see http://A.B/C?D=E.F) first.", "Then rest."], ["见 https://Example.com/A.B。", "然后走。"], ["Anna has a Ph.D. from Oslo.", "Mgr. Dvorak met Pvt. Hale.", "Hmm.", "No."],
+    ["He (the one [No. Yes. (Maybe. Or?)] here. Hm.) left.", "She (no. yes", "A (b) c.", "D."], ["“Go (now. Or. never.) Please. Now.” Bo said.", "He (said “go. now.” And. Left) slept."],
+]
+
+
+@pytest.mark.parametrize("want", ADDRESSES)
+def test_addresses_and_nesting(spark, want):
+    text = "\n\n".join(want) if "She (no. yes" in want else ("" if "见" in want[0] else " ").join(want)
+    got = sentence_texts(spark.createDataFrame([(1, text)], "doc long, text string")).orderBy("sent_start").collect()
+    expect = want if "She (no. yes" not in want else [want[0], "She (no.", "yes", *want[2:]]
+    assert [r["sentence"] for r in got] == expect
+
+
+def test_thai_in_long_brackets(spark):
+    inner = "แสง หมด " * 800
+    text = f"ทีมงาน ({inner}จบ) ลาเวนตะโกน"
+    got = sentence_texts(spark.createDataFrame([(1, text)], "doc long, text string")).collect()
+    assert max(len(r["sentence"]) for r in got) >= len(inner)
+
+
+def test_marks_without_partner_take_no_square_time(spark):
+    texts = ["( a. b “c. ‘d 'e " * 20_000, "'tis so. " * 20_000, "— a. " * 50_000, "(((" * 50_000, "a.b@" * 30_000, "http://a.b?" * 20_000]
+    assert sentence_texts(spark.createDataFrame(list(enumerate(texts)), "doc long, text string")).groupBy("doc").count().count() == len(texts)
+
+
+def test_single_marks_in_long_texts(spark, monkeypatch):
+    """Setting marks aside in long texts changes nothing."""
+    rng = random.Random(2)
+    parts = ["'tis. ", "'Go. On.' ", "don't. ", "the '90s. ", "'", "“He. 'So. It.' ” ", "word ", "\n\n", "x' ", "(it's. 'No. ) "]
+    df = spark.createDataFrame([(i, "".join(rng.choice(parts) for _ in range(40))) for i in range(300)], "doc long, text string")
+    want = sentence_texts(df).collect()
+    monkeypatch.setattr(sentences, "_LONG", 0)
+    assert sorted(sentence_texts(df).collect()) == sorted(want)
+
+
 def test_every_character_once(spark):
     rng = random.Random(9)
     parts = ["Dr. ", "word ", "“", "”", "(", ")", "。", "！", ". ", "? ", "\n", "\n\n", "...", "ก ข ", "— ", "'", "\"", "«", "»", "🎬 ", "3.5 ", "­", "Q: ", "- "]

@@ -8,23 +8,23 @@ terminators of each script, and each piece is restored by its place in the text.
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Private-use placeholders. BLANK is a blank line, DOT a mark that ends nothing, CUT the end of a sentence.
-BLANK, DOT, CUT = "\ue001", "\ue002", "\ue0ff"
-#: Opening and end of a quotation; those of brackets stay as they are.
+#: Private-use placeholders. BLANK is a blank line, DOT a mark and INNER a blank that ends nothing, CUT the end of a sentence.
+BLANK, DOT, INNER, CUT = "\ue001", "\ue002", "\ue003", "\ue016"
+#: Opening and end of a closed quotation and of a closed bracket; marks without partner stay as they are.
 QUOTE, Q_END = "\ue010", "\ue013"
+BRACKET, B_END = "\ue011", "\ue012"
 _B_OPEN, _B_SHUT = r"(（\[【", r")）\]】"
-_OPEN, _SHUT = QUOTE + _B_OPEN, Q_END + _B_SHUT
+_OPEN, _SHUT = QUOTE + BRACKET + _B_OPEN, Q_END + B_END + _B_SHUT
 _END = ".!?…。！？।؟｡"
 #: Turns letters and blanks away before a list of marks is tried, as most characters are these.
 _NO_LETTER = r"(?![a-z ])(?!\p{L})"
 _SPACE = r"\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _HIDDEN = r"[\u00ad\u200b-\u200d\u2060\ufeff]*"
-_TRIM = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000" + BLANK
+_TRIM = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000" + BLANK + INNER
 
 #: Abbreviations that never end a sentence.
 ABBREVIATIONS = (
@@ -41,17 +41,44 @@ LAST_WORDS = (
     "etc Inc Ltd Co Corp Bros Jr Esq [ap]\\.\\s{0,3}m U\\.S U\\.K U\\.N E\\.U D\\.C usw usf aprox EE\\.\\s?UU a\\.\\s?C d\\.\\s?C "
     "т\\.\\s{0,3}[дпк] др руб коп млн млрд тыс"
 ).split()
+#: Words without vowels that may end a sentence.
+NO_VOWELS = "Jr Ltd Hmm Shh Brr Psst Pfft Tsk".split()
 #: German words before an ordinal, and months.
 BEFORE_ORDINAL = "Die Der Das Dem Den Des Am Im Vom Zum Zur Beim die der das dem den des am im vom zum zur beim ab seit".split()
 MONTHS = "Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember".split()
 
+#: Closed quotations. The classes are possessive and exclude their own marks, so each is found in one pass, however long.
 _MARKS = (
-    rf"{_NO_LETTER}(?=[“„«「『\"'‘\u2014])(?:„([^„“”{BLANK}]{{0,1000}})[“”]|“([^“”„{BLANK}]{{0,1000}})”|«([^«»{BLANK}]{{0,1000}})»"
-    rf"|「([^「」{BLANK}]{{0,1000}})」|『([^『』{BLANK}]{{0,1000}})』|\"([^\"{BLANK}]{{0,500}})\""
-    rf"|(?<![\p{{L}}\p{{N}}])'([^'{BLANK}]{{0,300}}(?:'(?=\p{{L}})[^'{BLANK}]{{0,300}}){{0,5}})'(?![\p{{L}}\p{{N}}])"
-    rf"|‘([^‘’{BLANK}]{{0,300}}(?:’(?=\p{{L}})[^‘’{BLANK}]{{0,300}}){{0,5}})’(?!\p{{L}})"
+    rf"{_NO_LETTER}(?=[“„«「『\"'‘\u2014])(?:„([^„“”{BLANK}]*+)[“”]|“([^“”„{BLANK}]*+)”|«([^«»{BLANK}]*+)»"
+    rf"|「([^「」{BLANK}]*+)」|『([^『』{BLANK}]*+)』|\"([^\"{BLANK}]*+)\""
+    rf"|(?<![\p{{L}}\p{{N}}])'([^'\ue017{BLANK}]*+(?:'(?=[\p{{L}}\p{{N}}])[^'\ue017{BLANK}]*+)*+)['\ue017](?![\p{{L}}\p{{N}}])"
+    rf"|‘([^‘’{BLANK}]*+(?:’(?=\p{{L}})[^‘’{BLANK}]*+)*+)’(?!\p{{L}})"
     # speech after a dash, up to the dash before its speaker; the blank there stands for the closing mark
-    rf"|\u2014([^\u2014{BLANK}]{{1,300}})[{_SPACE}](?=\u2014\p{{Ll}}))"
+    rf"|\u2014([^\u2014{BLANK}]+)[{_SPACE}](?=\u2014\p{{Ll}}))"
+)
+#: In long texts the last possible end of a quotation in straight single marks is marked in each paragraph, and all such
+#: marks behind it are set aside, so that no search for an end runs in vain. Both are put back.
+_LONG, _LAST_END, _ASIDE = 10_000, "\ue017", "\ue018"
+_FINAL = rf"'(?![\p{{L}}\p{{N}}])(?=[^'{BLANK}]*+(?:'(?=[\p{{L}}\p{{N}}])[^'{BLANK}]*+)*+(?:{BLANK}|\z))"
+_VAIN = rf"((?:\G(?!^)|{_LAST_END}|(?:^|{BLANK})(?![^{_LAST_END}{BLANK}]*+{_LAST_END}))[^'{BLANK}{_LAST_END}]*+)'"
+#: Brackets in brackets are followed so deep; deeper ones count as text.
+_DEPTH = 5
+
+
+def _bracket_pattern() -> str:
+    """A closed bracket with those inside it. What has no partner is given up at the next brackets, so scans stay short."""
+    plain = rf"[^{_B_OPEN}{_B_SHUT}{BLANK}]++"
+    inside = rf"(?:{plain})?+"
+    for _ in range(_DEPTH):
+        inside = rf"(?:{plain}|[{_B_OPEN}]{inside}[{_B_SHUT}])*+"
+    return rf"[{_B_OPEN}]({inside})[{_B_SHUT}]"
+
+
+#: Marks inside addresses: behind a scheme, www. or @, and before @. A mark that only blanks or other marks follow is none.
+_IN_ADDRESS = (
+    r"((?:\G(?!^)|(?<![\p{L}\p{N}])(?:[A-Za-z][A-Za-z0-9+-]*+://|www(?=\.))|(?<=[A-Za-z0-9_%+-])@(?=[A-Za-z0-9]))"
+    r"[A-Za-z0-9_~:/#@$&*+,;=%()-]*+)[.!?](?=[.!?,;:]*+[A-Za-z0-9_~/#@$&*+=%-])"
+    r"|\.(?=[A-Za-z0-9_.%+-]{0,64}+@[A-Za-z0-9])"
 )
 _NOT_LETTER = r"(?<![\p{L}\p{N}\p{M}])"
 _SINGLE = rf"(?<={_NOT_LETTER}(?<!\.)\p{{L}}\p{{M}}{{0,2}}\.)(?<!(?:[ap]\.\s{{1,3}}|т\.\s{{1,3}}|\d\s{{1,3}}|\d)[mдпкг]\.)"
@@ -65,21 +92,21 @@ _MASKED = (
     rf"|(?<={_NOT_LETTER}(?:No|Nos|no|p|t|S|с|ص)\.)(?=[{_SPACE}]{{0,3}}\p{{N}})"
     rf"|{_SINGLE}(?=[{_SPACE}]{{0,4}}[\p{{L}}\p{{N}}])"  # initials
     rf"|(?<=\.\p{{Lu}}\.)(?=\p{{Lu}}\.)"
+    rf"|(?<={_NOT_LETTER}\p{{Lu}}\p{{Ll}}\.)(?=\p{{Lu}}\p{{Ll}}{{0,2}}\.)"  # degrees
+    rf"|(?<={_NOT_LETTER}[B-DF-HJ-NP-TV-XZ][b-df-hj-np-tv-xz]{{1,4}}\.)(?<!{_NOT_LETTER}(?:{'|'.join(NO_VOWELS)})\.)(?=[{_SPACE}]{{1,4}}\p{{Lu}})"  # shortened titles
     rf"|(?<={_NOT_LETTER}(?:{'|'.join(BEFORE_ORDINAL)})[{_SPACE}]{{1,3}}\d{{1,2}}\.)(?=[{_SPACE}]{{1,3}}\p{{Lu}})"
     rf"|(?<=\d\.)(?=[{_SPACE}]{{1,3}}(?:{'|'.join(MONTHS)})(?!\p{{L}}))))"
 )
 _SPEAKER = rf"(?:^|[\n{BLANK}])[QA]:"
 _START = rf"(?<=(?:^|[{BLANK}]|[{_END}]{_HIDDEN.replace('*', '{0,3}')}(?:[{_SPACE}]?[{_SHUT}])?|\n-|{_SPEAKER})[{_SPACE}]{{0,4}}.)"
 _SAID = rf"(?<=[:：,，、،؛;][{_SPACE}]{{0,3}}.)(?<!{_SPEAKER}[{_SPACE}]{{0,3}}.)"
-#: The last mark of a quotation or bracket, which isn't masked.
-_LAST = rf"(?:[{_END}]{{0,5}}[{_SPACE}]?[{_SHUT}])"
 _CLOSERS = r"[\"'”’»」』]*"
 _WITH_LAST = rf"(?<=[{_END}][{_SPACE}]{{0,1}}.){_HIDDEN}"
 _GOES_ON = rf"(?![{_SPACE}]*[\p{{Ll}},;:،，、。.!?—–-])"
 #: A quotation or bracket whose last mark ends the sentence too. One at the start of a sentence
 #: is ended by its speaker, unless another follows.
 _CLOSING = (
-    rf"{_NO_LETTER}(?:[{_B_OPEN}]{_START}[^{_B_OPEN}{_B_SHUT}{BLANK}]*[{_B_SHUT}]{_WITH_LAST}{_GOES_ON}"
+    rf"{_NO_LETTER}(?:{BRACKET}{_START}[^{BRACKET}{B_END}]*+{B_END}{_WITH_LAST}{_GOES_ON}"
     rf"|{QUOTE}(?:{_SAID}[^{QUOTE}{Q_END}]*{Q_END}{_WITH_LAST}{_GOES_ON}"
     rf"|{_START}[^{QUOTE}{Q_END}]*{Q_END}{_WITH_LAST}(?=[{_SPACE}]*[{_OPEN}])"
     rf"|(?!{_START})[^{QUOTE}{Q_END}]*{Q_END}{_WITH_LAST}(?=[{_SPACE}]+[\p{{Lu}}¿¡{_OPEN}])))"
@@ -93,34 +120,54 @@ _CUTS = (
     rf"|[!?]+(?=\p{{Lo}})"
     rf"|(?={BLANK})|(?=\n- ))"
 )
-#: A blank of Thai text, which has no end marks.
-_OUTSIDE = rf"(?![^{_OPEN}{BLANK}]{{0,1000}}[{_SHUT}])"
+#: A blank of Thai text, which has no end marks; those in quotations and brackets are INNER.
 _THAI_CUTS = (
-    rf"(?<=[\u0e01-\u0e45\u0e47-\u0e4e{_B_SHUT}])[{_SPACE}]+(?=[^{_SPACE}{BLANK}\p{{IsLatin}}\p{{N}}\u0e46]){_OUTSIDE}"
-    rf"|(?<=[^{_SPACE}{BLANK}\p{{IsLatin}}\p{{N}}\u0e46{DOT}:{CUT}{Q_END}”’»\"'-])[{_SPACE}]+(?=[\u0e01-\u0e45]){_OUTSIDE}"
+    rf"(?<=[\u0e01-\u0e45\u0e47-\u0e4e{B_END}{_B_SHUT}])[{_SPACE}]+(?=[^{_SPACE}{BLANK}\p{{IsLatin}}\p{{N}}\u0e46])"
+    rf"|(?<=[^{_SPACE}{BLANK}\p{{IsLatin}}\p{{N}}\u0e46{DOT}:{CUT}{Q_END}”’»\"'-])[{_SPACE}]+(?=[\u0e01-\u0e45])"
 )
 
 
+def _within(opening: str, end: str, what: str, last: str = "") -> str:
+    """From an opening, or from the sign found before, to the next sign of ``what`` inside."""
+    return rf"((?:\G(?!^)|{opening})[^{opening}{end}{BLANK}{what}]*+)[{what}]{last}"
+
+
 def _has_thai(text: Column) -> Column:
     """Looks for the first two bytes that all Thai letters have in UTF-8, which is faster than a pattern."""
     data = text.cast("binary")
     return F.contains(data, F.lit(b"\xe0\xb8")) | F.contains(data, F.lit(b"\xe0\xb9"))
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def masked(text: Column) -> Column:
     """The text with placeholders, of equal length, and CUT behind each sentence."""
     sub = lambda c, pattern, by: F.regexp_replace(c, F.lit(pattern), F.lit(by))
-    own = [BLANK, DOT, CUT, QUOTE, Q_END]
-    s = F.when(reduce(lambda x, y: x | y, [text.contains(c) for c in own]), sub(text, f"[{''.join(own)}]", "\ufffd")).otherwise(text)
+    # the first two bytes that all placeholders have in UTF-8
+    own = F.contains(text.cast("binary"), F.lit(b"\xee\x80"))
+    s = F.when(own, sub(text, r"[\ue000-\ue03f]", "\ufffd")).otherwise(text)
+    address = text.contains("://") | text.contains("@") | text.contains("www.")
+    s = _let(s, lambda x: F.when(address, sub(x, _IN_ADDRESS, f"$1{DOT}")).otherwise(x))
     s = sub(s, rf"\n(?=[{_SPACE.replace(chr(92) + 's', ' ' + chr(92) + 't' + chr(92) + 'r' + chr(92) + 'x0b' + chr(92) + 'f')}]*\n)", BLANK)
-    s = sub(s, _MARKS, f"{QUOTE}$1$2$3$4$5$6$7$8$9{Q_END}")
-    # from an opened quotation or bracket, or from the mark before, to the next mark inside
-    s = sub(s, rf"((?:\G(?!^)|{QUOTE})[^{QUOTE}{Q_END}{BLANK}{_END}]*)[{_END}](?!{_LAST})", f"$1{DOT}")
-    brackets, closed = _B_OPEN + _B_SHUT, rf"(?=[^{_B_OPEN}{_B_SHUT}{BLANK}]{{0,1000}}[{_B_SHUT}])"
-    s = sub(s, rf"((?:\G(?!^)|{_NO_LETTER}[{_B_OPEN}])[^{brackets}{BLANK}{_END}]*)[{_END}](?!{_LAST}){closed}", f"$1{DOT}")
+    quoted = lambda x: sub(x, _MARKS, f"{QUOTE}$1$2$3$4$5$6$7$8$9{Q_END}")
+    spared = lambda x: sub(sub(x, _FINAL, _LAST_END), _VAIN, f"$1{_ASIDE}")
+    long = (F.length(text) > _LONG) & text.contains("'")
+    s = _let(s, lambda x: F.when(long, F.translate(quoted(spared(x)), _LAST_END + _ASIDE, "''")).otherwise(quoted(x)))
+    s = sub(s, _bracket_pattern(), f"{BRACKET}$1{B_END}")
+    for opening, end in ((QUOTE, Q_END), (BRACKET, B_END)):
+        s = sub(s, _within(opening, end, _END, rf"(?![{_END}]{{0,5}}[{_SPACE}]?{end})"), f"$1{DOT}")
     s = sub(s, _MASKED, DOT)
     s = sub(s, _CLOSING, f"$0{CUT}")
-    s = F.when(_has_thai(text), sub(s, _THAI_CUTS, f"$0{CUT}")).otherwise(s)
+
+    def thai(x: Column) -> Column:
+        for opening, end in ((QUOTE, Q_END), (BRACKET, B_END)):
+            x = sub(x, _within(opening, end, _SPACE), f"$1{INNER}")
+        return sub(x, _THAI_CUTS, f"$0{CUT}")
+
+    s = _let(s, lambda x: F.when(_has_thai(text), thai(x)).otherwise(x))
     return sub(s, _CUTS, f"$0{CUT}")
 
 
