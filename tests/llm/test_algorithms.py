@@ -115,10 +115,26 @@ def test_pack():
         assert max(fill.values()) <= capacity and sorted(fill) == list(range(len(fill)))
     # best fit alone takes 24 containers, exchanges reach the 20 that are needed
     sizes = [4] * 20 + [3] * 40
-    assert len(set(packing.pack(sizes, 10, rounds=0))) == 24 and len(set(packing.pack(sizes, 10))) == 20
+    assert len(set(packing.pack(sizes, 10, search=False))) == 24 and len(set(packing.pack(sizes, 10))) == 20
     assert packing.pack([], 10) == []
 
 
+def test_local_search_empties_containers():
+    """From first fit in any order fewer containers are left, each step raises the sum of squared fills, and nothing is lost."""
+    rng = random.Random(5)
+    for capacity, most in ((512, 512), (512, 250), (2048, 2048), (8192, 3000)):
+        sizes = [min(most, max(1, int(rng.lognormvariate(5, 1)))) for _ in range(1500)]
+        place = packing._first_fit(sizes, capacity)
+        before, steps = len(set(place)), []
+        packing.local_search(sizes, place, capacity, steps)
+        fill = Counter()
+        for s, p in zip(sizes, place):
+            fill[p] += s
+        assert packing.least_containers(sizes, capacity) <= len(fill) < before and max(fill.values()) <= capacity
+        assert steps and all(x < y for x, y in zip(steps, steps[1:]))
+        assert len(set(packing.pack(sizes, capacity))) <= len(set(packing.pack(sizes, capacity, search=False)))
+
+
 def test_fill_containers(spark):
     sizes = spark.createDataFrame([(1, 25), (2, 10), (3, 4), (4, 6), (5, 0), (6, None), (7, 20)], "key long, n_tokens long")
     kinds = spark.createDataFrame([("k", 10), ("k", 10), (None, 5), ("z", 0), ("big", 100)], "kind string, capacity int")

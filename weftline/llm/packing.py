@@ -5,8 +5,8 @@ the capacity is cut into full pieces and a rest; nothing else is split. The item
 of a kind are spread by hash over groups, as each group leaves at most about one
 container partly filled. In a group the items are first placed best fit, and then
 documents are moved or exchanged, one for one or two for one, from the emptiest
-containers into others, each step raising the sum of squared fills, until
-containers empty.
+container into others, each step raising the sum of squared fills, until
+containers empty and no step helps any more.
 """
 
 from __future__ import annotations
@@ -23,8 +23,6 @@ from weftline.session import checkpoint
 
 #: Items packed together.
 GROUP_ITEMS = 10_000
-#: Passes of the search over the emptiest containers of a group.
-ROUNDS = 12
 
 
 def default_vocabulary() -> str:
@@ -59,159 +57,140 @@ def token_sizes(docs: DataFrame, key: str, text: str, vocabulary: str | None = N
     return filled.mapInArrow(count, "key long, n_tokens long")
 
 
-def pack(sizes: list[int], capacity: int, rounds: int = ROUNDS) -> list[int]:
-    """Number of the container of each item; every size is from 1 to ``capacity``."""
-    bins: list[list[int]] = []
-    fill: list[int] = []
-    by_room: dict[int, list[int]] = defaultdict(list)
-    rooms = 0  # bit r is set if a container with room r may be in by_room
-
-    def tightest(need: int, skip: int = -1) -> int:
-        """A container with the least room for ``need``; stale entries are dropped on the way."""
-        nonlocal rooms
-        least = need
-        while rest := rooms >> least:
-            r = least + (rest & -rest).bit_length() - 1
-            stack = by_room[r]
-            while stack and (capacity - fill[stack[-1]] != r or not bins[stack[-1]]):
-                stack.pop()
-            if not stack:
-                rooms &= ~(1 << r)
-            elif stack[-1] != skip:
-                return stack[-1]
-            least = r + 1
-        return -1
-
-    def note(b: int) -> None:
-        nonlocal rooms
-        if room := capacity - fill[b]:
-            by_room[room].append(b)
-            rooms |= 1 << room
+def pack(sizes: list[int], capacity: int, first_fit: bool = False, search: bool = True) -> list[int]:
+    """Number of the container of each item; every size is from 1 to ``capacity``.
 
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        if (b := tightest(sizes[i])) < 0:
-            b = len(bins)
-            bins.append([])
-            fill.append(0)
-        bins[b].append(i)
-        fill[b] += sizes[i]
-        note(b)
-
-    least_bins = -(-sum(sizes) // capacity)
-    alive = len(bins)
-    for _ in range(rounds):
-        if alive <= least_bins:
-            break
-        improved = False
-        open_bins = sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: (fill[b], b))
-        # items by the size that would take their place and fill their container
-        wanted: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for b in reversed(open_bins):
-            room = capacity - fill[b]
-            for i in bins[b]:
-                wanted[sizes[i] + room].append((b, i))
-        loose = _loosest(open_bins, bins, fill, sizes, capacity)
-        for donor in open_bins[: 2 * (alive - least_bins) + 1]:
-            if not bins[donor]:
-                continue
-            items = sorted(bins[donor], key=lambda i: -sizes[i])
-            for i in items:
-                target = tightest(sizes[i], donor)
-                if target >= 0 and fill[target] >= fill[donor] - sizes[i]:
-                    _exchange(bins, fill, sizes, donor, [i], target, [])
-                    note(target)
-                    note(donor)
-                    improved = True
-                elif swap := (
-                    _fitting(wanted[sizes[i]], bins, fill, sizes, capacity, donor, sizes[i])
-                    or _still(loose.get(sizes[i]), bins, fill, sizes, capacity, donor, sizes[i])
-                ):
-                    _exchange(bins, fill, sizes, donor, [i], swap[0], [swap[1]])
-                    note(swap[0])
-                    note(donor)
-                    improved = True
-            two = bins[donor]
-            if len(two) > 1:
-                for x in range(len(two) - 1):
-                    done = False
-                    for y in range(x + 1, len(two)):
-                        both = sizes[two[x]] + sizes[two[y]]
-                        if both <= capacity and both in wanted and (swap := _fitting(wanted[both], bins, fill, sizes, capacity, donor, both)):
-                            _exchange(bins, fill, sizes, donor, [two[x], two[y]], swap[0], [swap[1]])
-                            note(swap[0])
-                            note(donor)
-                            improved = done = True
-                            break
-                    if done:
-                        break
-            if not bins[donor]:
-                alive -= 1
-        if not improved:
-            break
+    Starts best fit from the largest item down, or, with ``first_fit``, in the order given, which leaves more to the search.
+    """
+    place = _first_fit(sizes, capacity) if first_fit else _best_fit(sizes, capacity)
+    if search:
+        local_search(sizes, place, capacity)
+    number: dict[int, int] = {}
+    return [number.setdefault(b, len(number)) for b in place]
+
+
+def _first_fit(sizes: list[int], capacity: int) -> list[int]:
+    """The first container with room, by a tree of the most room in each half."""
+    leaves = 1 << max(1, len(sizes)).bit_length()
+    most = [capacity] * (2 * leaves)
+    place = []
+    for size in sizes:
+        at = 1
+        while at < leaves:
+            at = 2 * at if most[2 * at] >= size else 2 * at + 1
+        place.append(at - leaves)
+        most[at] -= size
+        while at > 1:
+            at //= 2
+            most[at] = max(most[2 * at], most[2 * at + 1])
+    return place
+
+
+def _best_fit(sizes: list[int], capacity: int) -> list[int]:
+    by_room: dict[int, list[int]] = defaultdict(list)
+    rooms = 0  # bit r is set if some container has room r
     place = [0] * len(sizes)
-    for number, b in enumerate(b for b in range(len(bins)) if bins[b]):
-        for i in bins[b]:
-            place[i] = number
+    n = 0
+    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        rest = rooms >> sizes[i]
+        if rest:
+            room = sizes[i] + (rest & -rest).bit_length() - 1
+            b = by_room[room].pop()
+            if not by_room[room]:
+                rooms &= ~(1 << room)
+        else:
+            room, b, n = capacity, n, n + 1
+        place[i] = b
+        if room > sizes[i]:
+            by_room[room - sizes[i]].append(b)
+            rooms |= 1 << (room - sizes[i])
     return place
 
 
-def _fitting(candidates: list[tuple[int, int]], bins, fill, sizes, capacity: int, donor: int, size: int) -> tuple[int, int] | None:
-    """A container and its item that ``size`` would replace so that it becomes full; others are dropped."""
-    held = None
-    while candidates:
-        b, i = candidates.pop()
-        if b == donor:
-            held = held or (b, i)
-        elif i in bins[b] and fill[b] - sizes[i] + size == capacity and fill[b] >= fill[donor] - size and fill[b] < capacity:
-            if held:
-                candidates.append(held)
-            return b, i
-    if held:
-        candidates.append(held)
-    return None
-
-
-def _loosest(open_bins: list[int], bins, fill, sizes, capacity: int) -> dict[int, tuple[int, int]]:
-    """For each size the least item that it may replace, as that leaves the most room behind."""
-    best: dict[int, tuple[int, int]] = {}
-    free = list(range(capacity + 2))  # the next size without an item
-
-    def after(s: int) -> int:
-        while free[s] != s:
-            free[s] = free[free[s]]
-            s = free[s]
-        return s
-
-    for _, b, i in sorted((sizes[i], b, i) for b in open_bins for i in bins[b]):
-        s = after(sizes[i] + 1)
-        while s <= sizes[i] + capacity - fill[b]:
-            best[s] = (b, i)
-            free[s] = s + 1
-            s = after(s)
-    return best
-
-
-def _still(swap: tuple[int, int] | None, bins, fill, sizes, capacity: int, donor: int, size: int) -> tuple[int, int] | None:
-    """``swap`` if after the exchanges made since it still fits and still raises the squared fills."""
-    if not swap or swap[0] == donor or swap[1] not in bins[swap[0]]:
-        return None
-    gain = size - sizes[swap[1]]
-    return swap if 0 < gain <= capacity - fill[swap[0]] and fill[swap[0]] + gain > fill[donor] else None
-
-
-def _exchange(bins, fill, sizes, donor: int, out: list[int], target: int, back: list[int]) -> None:
-    for i in out:
-        bins[donor].remove(i)
-        bins[target].append(i)
-    for i in back:
-        bins[target].remove(i)
-        bins[donor].append(i)
-    gain = sum(sizes[i] for i in out) - sum(sizes[i] for i in back)
-    fill[donor] -= gain
-    fill[target] += gain
-
-
-def fill_containers(sizes: DataFrame, kinds: DataFrame, group_items: int = GROUP_ITEMS, rounds: int = ROUNDS) -> DataFrame:
+def least_containers(sizes: list[int], capacity: int) -> int:
+    """A bound from below: the sum, and the items of which no two fit together."""
+    return max(-(-sum(sizes) // capacity), sum(2 * s > capacity for s in sizes))
+
+
+def local_search(sizes: list[int], place: list[int], capacity: int, steps: list | None = None) -> None:
+    """Empties containers by moves and by exchanges of one for one and two for one; changes ``place``.
+
+    Containers give from the emptiest on; each step takes the most tokens from one that some container
+    has room for, and raises the sum of squared fills. It ends when as few containers are left as can
+    hold all items, or when none can give any more. ``steps`` gets that sum after each step.
+    """
+    import numpy as np
+
+    size, bin_of = np.asarray(sizes, np.int64), np.asarray(place, np.int64)
+    if not len(size):
+        return
+    fill = np.bincount(bin_of, weights=size).astype(np.int64)
+    least = least_containers(sizes, capacity)
+    alive = int((fill > 0).sum())
+    stepped = True
+    while stepped and alive > least:
+        stepped = False
+        for donor in np.lexsort((np.arange(len(fill)), fill)).tolist():
+            if not 0 < fill[donor] < capacity:
+                continue
+            while fill[donor] and (step := _step(size, bin_of, fill, capacity, donor)):
+                out, target, back = step
+                gain = int(size[out].sum() - size[back].sum())
+                bin_of[out] = target
+                bin_of[back] = donor
+                fill[target] += gain
+                fill[donor] -= gain
+                stepped = True
+                if steps is not None:
+                    steps.append(int((fill * fill).sum()))
+            alive -= not fill[donor]
+            if alive <= least:
+                break
+    place[:] = bin_of.tolist()
+
+
+def _step(size, bin_of, fill, capacity: int, donor: int):
+    """Items to give, the container that takes them, and the items it gives back, or none if nothing helps."""
+    import numpy as np
+
+    room = np.where(fill > 0, capacity - fill, 0)
+    room[donor] = 0
+    mine = np.flatnonzero(bin_of == donor)
+    mine = mine[np.argsort(size[mine], kind="stable")]
+    own = size[mine]
+    best = (0, None)
+    # a move: the largest item for which there is room, to the container it fills best
+    n = int(np.searchsorted(own, room.max(), "right"))
+    if n:
+        takes = np.flatnonzero((room >= own[n - 1]) & (fill + own[n - 1] > fill[donor]))
+        if len(takes):
+            best = (int(own[n - 1]), (mine[n - 1 : n], int(takes[np.argmin(room[takes])]), mine[:0]))
+    others = np.flatnonzero(room[bin_of] > 0)
+    theirs, theirs_room, theirs_fill = size[others], room[bin_of[others]], fill[bin_of[others]]
+
+    def exchange(sums):
+        """For each item of the others the largest of ``sums`` that may take its place."""
+        at = np.searchsorted(sums, theirs + theirs_room, "right") - 1
+        gain = np.where(at >= 0, sums[np.maximum(at, 0)] - theirs, 0)
+        gain[theirs_fill + gain <= fill[donor]] = 0
+        k = int(np.argmax(gain))
+        return int(gain[k]), int(at[k]), others[k]
+
+    if len(others):
+        gain, at, back = exchange(own)
+        if gain > best[0]:
+            best = (gain, (mine[at : at + 1], int(bin_of[back]), np.array([back])))
+        if not best[0] and len(mine) > 1:
+            first, second = np.triu_indices(len(mine), 1)
+            both = own[first] + own[second]
+            order = np.argsort(both, kind="stable")
+            gain, at, back = exchange(both[order])
+            if gain > 0:
+                best = (gain, (mine[[first[order[at]], second[order[at]]]], int(bin_of[back]), np.array([back])))
+    return best[1]
+
+
+def fill_containers(sizes: DataFrame, kinds: DataFrame, group_items: int = GROUP_ITEMS) -> DataFrame:
     """``kind, container, key, piece, token_from, token_to`` for every item and kind.
 
     ``sizes`` has unique ``key`` and ``n_tokens``; ``kinds`` has ``kind`` and
@@ -225,16 +204,9 @@ def fill_containers(sizes: DataFrame, kinds: DataFrame, group_items: int = GROUP
     groups = max(1, -(-total // group_items))
     kinds = kinds.filter("kind IS NOT NULL AND capacity > 0").distinct()
     rows = kinds.collect()  # a short list by its meaning
-    pieces = None
-    for r in rows:
-        capacity = F.lit(int(r["capacity"])).cast("bigint")
-        one = sizes.select(
-            F.lit(r["kind"]).alias("kind"), capacity.alias("capacity"), "key", "n_tokens",
-            F.floor((F.col("n_tokens") - 1) / capacity).alias("last"),
-        )
-        pieces = one if pieces is None else pieces.unionAll(one)
-    if pieces is None:
+    if not rows:
         return sizes.filter("false").selectExpr("'' AS kind", "'' AS container", "key", "0 AS piece", "0L AS token_from", "0L AS token_to")
+    pieces = _per_kind(sizes, rows).withColumn("last", F.floor((F.col("n_tokens") - 1) / F.col("capacity")))
     # a rest that is full too is a piece like those before it
     whole = F.when(F.col("n_tokens") % F.col("capacity") == 0, F.col("last")).otherwise(F.col("last") - 1)
     number = lambda c: (c * F.col("capacity")).alias("token_from")
@@ -252,7 +224,7 @@ def fill_containers(sizes: DataFrame, kinds: DataFrame, group_items: int = GROUP
     def place(table: pa.Table) -> pa.Table:
         table = table.sort_by([("key", "ascending")])
         size = pa.compute.subtract(table["token_to"], table["token_from"]).to_pylist()
-        placed = pack(size, table["capacity"][0].as_py(), rounds)
+        placed = pack(size, table["capacity"][0].as_py())
         g = table["grp"][0].as_py()
         names = pa.array([f"g{g}-{p}" for p in placed])
         return pa.table([table["kind"], names, table["key"], table["piece"], table["token_from"], table["token_to"]], names=["kind", "container", "key", "piece", "token_from", "token_to"])
@@ -261,8 +233,32 @@ def fill_containers(sizes: DataFrame, kinds: DataFrame, group_items: int = GROUP
     return packed.unionByName(full)
 
 
+def _per_kind(sizes: DataFrame, rows: list) -> DataFrame:
+    """Each document once for each kind; the kinds are written into the plan, as they are few by their meaning."""
+    kinds = F.array(*[F.struct(F.lit(r["kind"]).alias("kind"), F.lit(int(r["capacity"])).cast("bigint").alias("capacity")) for r in rows])
+    return sizes.select("key", "n_tokens", F.inline(kinds))
+
+
 def container_fill(placed: DataFrame, kinds: DataFrame) -> DataFrame:
     """Fill of every container, ``kind, container, n_items, n_tokens, capacity``."""
     tokens = F.sum(F.col("token_to") - F.col("token_from"))
     fills = placed.groupBy("kind", "container").agg(F.count(F.lit(1)).alias("n_items"), tokens.alias("n_tokens"))
     return fills.join(F.broadcast(kinds.select("kind", "capacity").distinct()), "kind")
+
+
+def validity(placed: DataFrame, sizes: DataFrame, kinds: DataFrame) -> DataFrame:
+    """``kind, capacity, n_docs, n_too_full, n_not_whole, n_cut`` of a packing held against the sizes; all but the first are 0 if it is sound."""
+    n = F.col("token_to") - F.col("token_from")
+    kinds = kinds.filter("kind IS NOT NULL AND capacity > 0").select("kind", "capacity").distinct()
+    full = placed.groupBy("kind", "container").agg(F.sum(n).alias("n")).join(F.broadcast(kinds), "kind").groupBy("kind").agg(F.count_if(F.col("n") > F.col("capacity")).alias("n_too_full"))
+    docs = placed.groupBy("kind", "key").agg(
+        F.sum(n).alias("n"), F.count(F.lit(1)).alias("pieces"), F.min("token_from").alias("a"), F.max("token_to").alias("b"), F.countDistinct("piece").alias("distinct")
+    )
+    held = _per_kind(sizes.filter("n_tokens > 0"), kinds.collect()).join(docs, ["kind", "key"], "left")
+    whole = (F.col("a") == 0) & (F.col("b") == F.col("n_tokens")) & (F.col("n") == F.col("n_tokens")) & (F.col("pieces") == F.col("distinct"))
+    per = held.groupBy("kind", "capacity").agg(
+        F.count("pieces").alias("n_docs"),
+        F.count_if(~F.coalesce(whole, F.lit(False))).alias("n_not_whole"),
+        F.count_if((F.col("pieces") > 1) & (F.col("n_tokens") <= F.col("capacity"))).alias("n_cut"),
+    )
+    return per.join(full, "kind").select("kind", "capacity", "n_docs", "n_too_full", "n_not_whole", "n_cut")

@@ -107,6 +107,12 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill.withColumnsRenamed({"kind": "container_kind", "container": "container_id"})
 
 
+def p7_validity(spark: SparkSession, d: str) -> DataFrame:
+    """Documents placed and faults of each kind: containers too full, documents not whole, and those cut without need."""
+    sizes = packing.token_sizes(table(spark, d, "documents"), "doc_id", "text")
+    return packing.validity(packing.fill_containers(sizes, _kinds(spark, d)), sizes, _kinds(spark, d)).withColumnRenamed("kind", "container_kind")
+
+
 def _leak_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
     return docs, table(spark, d, "eval_items").select(F.col("item_id").alias("item"), "lang", "text")
@@ -130,7 +136,13 @@ def p9_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_texts(docs).withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_percentiles, p5_fields, p6_found, p6_pairs, p6_all_pairs, p7_containers, p7_fill, p8_found, p8_templates, p9_found, p9_sentences)}
+def p9_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Per document the filled characters in its sentences, and sentences that begin before the last one ends."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return sentences.coverage(docs).withColumnRenamed("doc", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_percentiles, p5_fields, p6_found, p6_pairs, p6_all_pairs, p7_containers, p7_fill, p7_validity, p8_found, p8_templates, p9_found, p9_sentences, p9_coverage)}
 
 _P5 = """
 WITH v AS (
@@ -197,10 +209,13 @@ WITH letters AS (
   SELECT id AS doc_id, substr(s, p, n) AS x FROM s, (VALUES (24), (60)) AS l(n), unnest(range(1, length(s) - n + 2)) AS r(p) WHERE side = 'd'
 )
 """
+_BLANKS = r"\s\x0b\x1c-\x1f\x{85}\p{Z}"
 ORACLE = {
     "p5_found": _P5 + "SELECT table_name, group_key FROM p WHERE p95 >= 40 * p50",
     "p5_percentiles": _P5 + "SELECT * FROM p",
     "p5_fields": _P5_FIELDS,
+    "p7_validity": f"SELECT container_kind, capacity_tokens AS capacity, (SELECT count(*) FROM documents WHERE regexp_matches(text, '[^{_BLANKS}]')) AS n_docs, 0 AS n_too_full, 0 AS n_not_whole, 0 AS n_cut FROM containers",
+    "p9_coverage": f"SELECT doc_id, length(regexp_replace(text, '[{_BLANKS}]', '', 'g')) AS n_filled, 0 AS n_overlaps FROM documents WHERE regexp_matches(text, '[^{_BLANKS}]')",
     "p8_found": _P8 + "SELECT DISTINCT doc_id, item_id FROM v JOIN w USING (x)",
     "p6_found": _P6 + "SELECT person_a, person_b FROM k WHERE n_ab * n >= 8 * n_a * n_b",
     "p6_pairs": _P6 + f"SELECT person_a, person_b, n_ab, n_a, n_b, round(n_ab * n / (n_a::DOUBLE * n_b), 6) AS lift, round({_LLR}, 4) AS llr FROM k",

@@ -238,3 +238,13 @@ def sentence_texts(docs: DataFrame) -> DataFrame:
         "doc", F.col("start").alias("sent_start"), F.col("end").alias("sent_end"),
         F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("sentence"),
     )
+
+
+def coverage(docs: DataFrame) -> DataFrame:
+    """``doc, n_filled, n_overlaps`` of each text with sentences: characters that aren't blank in them, and sentences that begin too early."""
+    spans = _pieces(docs, "doc", "text").select("doc", "text", sentence_spans(F.col("_pieces")).alias("_s"))
+    spans = spans.select("doc", "text", F.filter("_s", lambda x: x["start"] < x["end"]).alias("_s")).filter(F.size("_s") > 0)
+    filled = lambda x: F.length(F.regexp_replace(F.substring(F.col("text"), x["start"] + 1, x["end"] - x["start"]), rf"[{_SPACE}\x1c-\x1f]", ""))
+    early = F.zip_with(F.slice("_s", 2, F.size("_s")), F.slice("_s", 1, F.size("_s") - 1), lambda x, y: (x["start"] < y["end"]).cast("int"))
+    total = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + x)
+    return spans.select("doc", total(F.transform("_s", filled)).alias("n_filled"), total(early).alias("n_overlaps"))
