@@ -3,163 +3,198 @@
 Each task turns its records into stripes, an associative array of neighbours and
 counts per item, and merges the arrays of equal items before anything is sent.
 Stripes of one item and one block of neighbours then meet in one task and are
-merged as they stream by in sorted order; the blocks split the stripe of an item
-that is in very many records.
+merged as they stream by in sorted order. An item that is in very many records has
+as many blocks as its number of records asks for, so no task holds more of a stripe
+than its share.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import parallelism
+from weftline.session import checkpoint, parallelism
 
-#: Neighbour blocks of one item; its stripe is merged by up to so many tasks.
-BLOCKS = 16
+#: Pairs of one item in one block, about; an item with more is split by its neighbours.
+PAIRS_A_BLOCK = 1_000_000
+#: Items with more than one block are at most this many; their numbers of blocks go to all tasks.
+SPLIT_ITEMS = 100_000
 #: Pairs held at once while stripes are made.
 PAIRS_AT_ONCE = 1_000_000
 
 _STRIPE = "item long, block int, neighbours array<long>, counts array<long>"
 
 
-def _stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stripes of lists of distinct sorted ids; an item's own entry is its record count."""
-    import numpy as np
+def _stripes(split_items, split_blocks):
+    """Makes stripes of lists of distinct sorted ids, by item and block."""
+
+    def block(items, ids):
+        """Blocks of neighbours; items that aren't split have one."""
+        if not len(split_items):
+            return np.zeros(len(ids), np.int64)
+        at = np.minimum(np.searchsorted(split_items, items), len(split_items) - 1)
+        blocks = np.where(split_items[at] == items, split_blocks[at], 1)
+        return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % blocks
+
+    def stripes(pairs) -> pa.RecordBatch:
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        at = np.flatnonzero(np.r_[True, (pairs[1:] != pairs[:-1]).any(1)])
+        counts = np.diff(np.r_[at, len(pairs)])
+        item, neighbour = pairs[at, 0], pairs[at, 1]
+        part = block(item, neighbour)
+        order = np.lexsort((neighbour, part, item))
+        item, neighbour, part, counts = item[order], neighbour[order], part[order], counts[order]
+        cut = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (part[1:] != part[:-1])])
+        offsets = pa.array(np.r_[cut, len(item)].astype(np.int32))
+        arrays = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (neighbour, counts)]
+        return pa.RecordBatch.from_arrays([pa.array(item[cut]), pa.array(part[cut].astype(np.int32)), *arrays], names=["item", "block", "neighbours", "counts"])
 
-    held: list = []
-    size = 0
-
-    def emit() -> pa.RecordBatch:
-        pairs = np.concatenate(held)
-        order = np.lexsort((pairs[:, 1], _block(pairs[:, 1]), pairs[:, 0]))
-        return _merged(pairs[order], np.ones(len(pairs), np.int64))
-
-    for batch in batches:
-        ids = batch.column(0)
-        lengths = np.asarray(ids.value_lengths().fill_null(0)).astype(np.int64)
-        values = np.asarray(ids.flatten()).astype(np.int64)
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(lengths) else lengths
-        for n in np.unique(lengths):
-            if not n:
-                continue
-            first = starts[lengths == n]
-            if n * (n + 1) // 2 > PAIRS_AT_ONCE:  # one very long record after the other, some of its items at a time
-                for ids_of in (values[i : i + n] for i in first):
-                    for i in range(n):
-                        held.append(np.stack([np.full(n - i, ids_of[i]), ids_of[i:]], 1))
-                        size += n - i
-                        if size >= PAIRS_AT_ONCE:
-                            yield emit()
-                            held, size = [], 0
-                continue
-            left, right = np.triu_indices(n)
-            step = max(1, PAIRS_AT_ONCE // len(left))
-            for i in range(0, len(first), step):
-                rows = first[i : i + step, None]
-                a, b = values[rows + left].ravel(), values[rows + right].ravel()
-                held.append(np.stack([a, b], 1))
-                size += len(a)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        size = 0
+        for batch in batches:
+            for pairs in _pairs(batch.column(0)):
+                held.append(pairs)
+                size += len(pairs)
                 if size >= PAIRS_AT_ONCE:
-                    yield emit()
+                    yield stripes(np.concatenate(held))
                     held, size = [], 0
-    if held:
-        yield emit()
-
-
-def _block(ids):
-    import numpy as np
-
-    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % BLOCKS
-
-
-def _merged(pairs, counts) -> pa.RecordBatch:
-    """Sorted pairs with counts as one stripe per item and block."""
-    import numpy as np
-
-    new = np.r_[True, (pairs[1:] != pairs[:-1]).any(1)]
-    at = np.flatnonzero(new)
-    total = np.add.reduceat(counts, at)
-    item, neighbour = pairs[at, 0], pairs[at, 1]
-    block = _block(neighbour)
-    cut = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (block[1:] != block[:-1])])
-    offsets = pa.array(np.r_[cut, len(item)].astype(np.int32))
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(item[cut]),
-            pa.array(block[cut].astype(np.int32)),
-            pa.ListArray.from_arrays(offsets, pa.array(neighbour)),
-            pa.ListArray.from_arrays(offsets, pa.array(total)),
-        ],
-        names=["item", "block", "neighbours", "counts"],
-    )
+        if held:
+            yield stripes(np.concatenate(held))
+
+    return run
+
+
+def _pairs(ids: pa.Array) -> Iterator:
+    """Pairs of each list's sorted ids, in pieces of bounded size."""
+    lengths = np.asarray(ids.value_lengths().fill_null(0)).astype(np.int64)
+    values = np.asarray(ids.flatten()).astype(np.int64)
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(lengths) else lengths
+    for n in np.unique(lengths).tolist():
+        if n < 2:
+            continue
+        first = starts[lengths == n]
+        if n * (n - 1) // 2 > PAIRS_AT_ONCE:  # one very long record after the other, one of its items at a time
+            for a in first.tolist():
+                for i in range(a, a + n - 1):
+                    yield np.stack([np.full(a + n - 1 - i, values[i]), values[i + 1 : a + n]], 1)
+            continue
+        left, right = np.triu_indices(n, 1)
+        step = max(1, PAIRS_AT_ONCE // len(left))
+        for i in range(0, len(first), step):
+            rows = first[i : i + step, None]
+            yield np.stack([values[rows + left].ravel(), values[rows + right].ravel()], 1)
 
 
 def _merge_stream(min_count: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Merges stripes sorted by item and block; the last, perhaps unfinished, stripe waits."""
-        import numpy as np
+    """Merges stripes that come sorted by item and block; the last, perhaps unfinished, one waits."""
 
-        rest_pairs, rest_counts = np.empty((0, 2), np.int64), np.empty(0, np.int64)
+    def merged(parts: list):
+        neighbour, count = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        order = np.argsort(neighbour, kind="stable")
+        neighbour, count = neighbour[order], count[order]
+        at = np.flatnonzero(np.r_[True, neighbour[1:] != neighbour[:-1]])
+        return neighbour[at], np.add.reduceat(count, at)
 
-        def out(pairs, counts) -> pa.RecordBatch:
-            keep = (counts >= min_count) | (pairs[:, 0] == pairs[:, 1])
-            pairs, counts = pairs[keep], counts[keep]
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(counts)], names=["item", "neighbour", "n"])
+    def out(items, neighbours, counts) -> pa.RecordBatch:
+        item, neighbour, count = (np.concatenate(x) for x in (items, neighbours, counts))
+        keep = count >= min_count
+        return pa.RecordBatch.from_arrays([pa.array(item[keep]), pa.array(neighbour[keep]), pa.array(count[keep])], names=["item", "neighbour", "n"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held, size, limit = None, [], 0, PAIRS_AT_ONCE
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lengths = np.asarray(batch.column(2).value_lengths())
-            item = np.repeat(np.asarray(batch.column(0)), lengths)
-            neighbour, count = np.asarray(batch.column(2).flatten()), np.asarray(batch.column(3).flatten())
-            pairs = np.concatenate([rest_pairs, np.stack([item, neighbour], 1)])
-            counts = np.concatenate([rest_counts, count])
-            order = np.lexsort((pairs[:, 1], _block(pairs[:, 1]), pairs[:, 0]))
-            pairs, counts = pairs[order], counts[order]
-            at = np.flatnonzero(np.r_[True, (pairs[1:] != pairs[:-1]).any(1)])
-            pairs, counts = pairs[at], np.add.reduceat(counts, at)
-            last = (pairs[:, 0] == pairs[-1, 0]) & (_block(pairs[:, 1]) == _block(pairs[-1:, 1]))
-            rest_pairs, rest_counts = pairs[last], counts[last]
-            if not last.all():
-                yield out(pairs[~last], counts[~last])
-        if len(rest_counts):
-            yield out(rest_pairs, rest_counts)
+            lengths = np.asarray(batch.column(2).value_lengths()).astype(np.int64)
+            ends = np.cumsum(lengths)
+            neighbour, count = (np.asarray(batch.column(i).flatten()) for i in (2, 3))
+            item, block = (np.asarray(batch.column(i)).astype(np.int64) for i in (0, 1))
+            cut = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (block[1:] != block[:-1])])
+            done: tuple = ([], [], [])
+            last = int(cut[-1])
+            # all stripes that end in this batch at once, and the first one with what was held of it
+            low = int(ends[cut[0]] - lengths[cut[0]])
+            if current is not None and (int(item[0]), int(block[0])) != current:
+                n, c = merged(held)
+                done = ([np.full(len(n), current[0])], [n], [c])
+                held, size, limit = [], 0, PAIRS_AT_ONCE
+            elif current is not None and len(cut) > 1:
+                first_end = int(ends[cut[1] - 1])
+                n, c = merged([*held, (neighbour[:first_end], count[:first_end])])
+                done = ([np.full(len(n), current[0])], [n], [c])
+                held, size, limit, low = [], 0, PAIRS_AT_ONCE, first_end
+            tail = int(ends[last] - lengths[last])
+            if tail > low:
+                i = np.repeat(item, lengths)[low:tail]
+                b = np.repeat(block, lengths)[low:tail]
+                n, c = neighbour[low:tail], count[low:tail]
+                order = np.lexsort((n, b, i))
+                i, n, c = i[order], n[order], c[order]
+                at = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (n[1:] != n[:-1])])
+                for store, values in zip(done, (i[at], n[at], np.add.reduceat(c, at)), strict=True):
+                    store.append(values)
+            if done[0]:
+                yield out(*done)
+            current = (int(item[last]), int(block[last]))
+            held.append((neighbour[tail:], count[tail:]))
+            size += len(neighbour) - tail
+            if size > limit:  # the limit doubles with what stays, so an entry is sorted a few times only
+                held = [merged(held)]
+                size = len(held[0][0])
+                limit = max(PAIRS_AT_ONCE, 2 * size)
+        if current is not None:
+            n, c = merged(held)
+            yield out([np.full(len(n), current[0])], [n], [c])
 
     return run
 
 
-def pair_counts(records: DataFrame, record: Column, items: Column, min_count: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Pairs and single items with their numbers of records.
+@dataclass(frozen=True)
+class Together:
+    """``pairs`` is ``a, b, n_ab`` with a < b, ``items`` is ``item, n``, ``records`` their number."""
+
+    pairs: DataFrame
+    items: DataFrame
+    records: int
 
-    ``items`` is an array of ids. Only ids above 0 count, once per record; a record
-    that comes again with the same ids, in any order, counts once. Null and empty
-    lists give no pairs. Returns ``a, b, n_ab`` with a < b and at least ``min_count``
-    records, and ``item, n``; with :func:`record_count` these give every measure.
+
+def pair_counts(records: DataFrame, record: Column, items: Column, min_count: int = 1, pairs_a_block: int = PAIRS_A_BLOCK) -> Together:
+    """Pairs in at least ``min_count`` records, single items, and the number of records with an id above 0.
+
+    ``items`` is an array of ids. Only ids above 0 count, once per record; a record that
+    comes more than once counts once, with the ids of all its lists. Null and empty lists
+    give no pairs. Null records are one record.
     """
     ids = F.array_sort(F.array_distinct(F.filter(items, lambda x: x > 0)))
-    once = records.select(record.alias("record"), ids.alias("ids")).filter(F.size("ids") > 0).distinct()
-    stripes = once.select("ids").mapInArrow(_stripes, _STRIPE)
-    parts = parallelism(records.sparkSession)
+    lists = records.select(record.alias("record"), ids.alias("ids")).filter(F.size("ids") > 0)
+    # equal lists of a record are one before they are sent; written once, as it is read three times
+    once = lists.groupBy("record").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("ids"))
+    once = checkpoint(once.select("ids"))
+    singles = once.select(F.explode("ids").alias("item"), (F.size("ids") - 1).cast("bigint").alias("others")).groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.sum("others").alias("pairs"))
+    total = once.agg(F.count(F.lit(1)).alias("n"), F.sum((F.size("ids") - 1).cast("bigint") * F.size("ids")).alias("pairs")).first()
+    # an item above the share that only SPLIT_ITEMS can have, or above a block
+    share = max(pairs_a_block, -(-(total["pairs"] or 0) // SPLIT_ITEMS))
+    split = singles.filter(F.col("pairs") > share).select("item", F.ceil(F.col("pairs") / pairs_a_block).cast("bigint").alias("blocks")).orderBy("item").toPandas()
+    split_items, split_blocks = split["item"].to_numpy(np.int64), split["blocks"].to_numpy(np.int64)
     merged = (
-        stripes.repartition(parts, "item", "block")
+        once.mapInArrow(_stripes(split_items, split_blocks), _STRIPE)
+        .repartition(parallelism(records.sparkSession), "item", "block")
         .sortWithinPartitions("item", "block")
         .mapInArrow(_merge_stream(min_count), "item long, neighbour long, n long")
-        .persist()
     )
-    pairs = merged.filter("item <> neighbour").select(F.col("item").alias("a"), F.col("neighbour").alias("b"), F.col("n").alias("n_ab"))
-    return pairs, merged.filter("item = neighbour").select("item", "n")
-
-
-def record_count(records: DataFrame, record: Column, items: Column) -> int:
-    """Distinct records with at least one id above 0."""
-    return records.filter(F.exists(items, lambda x: x > 0)).select(record).distinct().count()
+    pairs = merged.select(F.col("item").alias("a"), F.col("neighbour").alias("b"), F.col("n").alias("n_ab"))
+    return Together(pairs, singles.select("item", "n"), total["n"])
 
 
-def with_significance(pairs: DataFrame, items: DataFrame, n: int) -> DataFrame:
-    """Adds ``n_a, n_b, lift`` and ``llr``, the log-likelihood ratio of the two-by-two table."""
+def with_significance(counted: Together) -> DataFrame:
+    """The pairs with ``n_a, n_b, lift`` and ``llr``, the log-likelihood ratio of the two-by-two table."""
+    pairs, items, n = counted.pairs, counted.items, counted.records
     full = pairs.join(items.select(F.col("item").alias("a"), F.col("n").alias("n_a")), "a").join(
         items.select(F.col("item").alias("b"), F.col("n").alias("n_b")), "b"
     )

@@ -65,10 +65,8 @@ def p5_fields(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, d: str, min_count: int) -> tuple[DataFrame, int]:
-    cast = table(spark, d, "cast_ensemble")
-    pairs, items = cooccurrence.pair_counts(cast, F.col("title_id"), F.col("cast_ids"), min_count)
-    n = cooccurrence.record_count(cast, F.col("title_id"), F.col("cast_ids"))
-    return cooccurrence.with_significance(pairs, items, n), n
+    counted = cooccurrence.pair_counts(table(spark, d, "cast_ensemble"), F.col("title_id"), F.col("cast_ids"), min_count)
+    return cooccurrence.with_significance(counted), counted.records
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -81,12 +79,7 @@ def _measures(pairs: DataFrame) -> DataFrame:
 
 
 def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Only pairs with at least 5 common films, as in its SQL; :func:`p6_all_pairs` has all."""
-    return _measures(_pairs(spark, d, 5)[0])
-
-
-def p6_all_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Every pair that shares a film."""
+    """Every pair that shares a film, with both measures."""
     return _measures(_pairs(spark, d, 1)[0])
 
 
@@ -142,7 +135,7 @@ def p9_coverage(spark: SparkSession, d: str) -> DataFrame:
     return sentences.coverage(docs).withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_percentiles, p5_fields, p6_found, p6_pairs, p6_all_pairs, p7_containers, p7_fill, p7_validity, p8_found, p8_templates, p9_found, p9_sentences, p9_coverage)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_percentiles, p5_fields, p6_found, p6_pairs, p7_containers, p7_fill, p7_validity, p8_found, p8_templates, p9_found, p9_sentences, p9_coverage)}
 
 _P5 = """
 WITH v AS (
@@ -218,6 +211,5 @@ ORACLE = {
     "p9_coverage": f"SELECT doc_id, length(regexp_replace(text, '[{_BLANKS}]', '', 'g')) AS n_filled, 0 AS n_overlaps FROM documents WHERE regexp_matches(text, '[^{_BLANKS}]')",
     "p8_found": _P8 + "SELECT DISTINCT doc_id, item_id FROM v JOIN w USING (x)",
     "p6_found": _P6 + "SELECT person_a, person_b FROM k WHERE n_ab * n >= 8 * n_a * n_b",
-    "p6_pairs": _P6 + f"SELECT person_a, person_b, n_ab, n_a, n_b, round(n_ab * n / (n_a::DOUBLE * n_b), 6) AS lift, round({_LLR}, 4) AS llr FROM k",
-    "p6_all_pairs": _P6.replace(" HAVING count(*) >= 5", "") + f"SELECT person_a, person_b, n_ab, n_a, n_b, round(n_ab * n / (n_a::DOUBLE * n_b), 6) AS lift, round({_LLR}, 4) AS llr FROM k",
+    "p6_pairs": _P6.replace(" HAVING count(*) >= 5", "") + f"SELECT person_a, person_b, n_ab, n_a, n_b, round(n_ab * n / (n_a::DOUBLE * n_b), 6) AS lift, round({_LLR}, 4) AS llr FROM k",
 }
