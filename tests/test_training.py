@@ -23,15 +23,15 @@ def best(event, versions):
     return max(usable, key=lambda v: (v[4], v[5], v[0]))[0] if usable else None
 
 
-@pytest.mark.parametrize("hot", [50_000, 20])
-def test_asof_versions(spark, hot):
+@pytest.mark.parametrize("hot,chain,span", [(50_000, 10**6, 30), (20, 10**6, 30), (50_000, 50, 30), (20, 10**6, 0)])
+def test_asof_versions(spark, hot, chain, span):
+    """Units may be whole entities or parts of them; with a span of 0 all versions became known at one moment."""
     rng = random.Random(7)
-    versions = [(i, rng.choice([1, 1, 1, 2, 3]), f := rng.randint(0, 9), f + rng.randint(-1, 6), f, rng.randint(0, 30), "x") for i in range(300)]
+    versions = [(i, rng.choice([1, 1, 1, 2, 3]), f := rng.randint(0, 9), f + rng.randint(-1, 6), f, rng.randint(0, span), "x") for i in range(300)]
     versions += versions[:40] + [(900, 1, None, 5, 1, 1, "x"), (901, None, 0, 9, 0, 0, "x"), (902, 1, 0, 9, 0, None, "x")]
     events = [(i, rng.choice([1, 1, 2, 3, 4]), rng.randint(0, 12), rng.randint(0, 35), "x") for i in range(400)]
     events += events[:30] + [(900, None, 1, 1, "x"), (901, 1, None, 1, "x"), (902, 1, 1, None, "x")]
-    # a slice of ten ticks, so that hot entities are cut in time too
-    spec = AsofSpec(bucket_rows=100, hot_rows=hot, slice_seconds=10)
+    spec = AsofSpec(bucket_rows=100, hot_rows=hot, chain_rows=chain)
     scale = 1_000_000
     got = asof_versions(
         spark.createDataFrame([(*e[:3], None if e[3] is None else e[3] * scale, e[4]) for e in events], EVENT),
@@ -134,7 +134,9 @@ def test_broken_references(spark):
     parents = spark.createDataFrame(parents, "parent_kind string, parent_id long, recorded_at timestamp, deleted_at timestamp")
     refs = [(i, "p", i, t + day) for i in range(60)] + [(100, "p", 3, t + 5 * day), (101, "p", 60, t), (102, "c", 61, t), (103, "p", 61, t), (104, "p", None, t), (105, "p", 3, None), (106, "p", 62, t), (107, "p", 999, None)]
     refs = spark.createDataFrame([("e", "f", *r) for r in refs], "table_name string, ref_field string, row_key long, parent_kind string, parent_id long, at timestamp")
-    got = {(r["row_key"], r["ref_state"]) for r in broken_references(refs, parents).collect()}
-    assert got == {(i, "missing") for i in range(50, 60)} | {(100, "deleted"), (101, "late"), (102, "deleted"), (103, "missing"), (107, "missing")}
+    want = {(i, "missing") for i in range(50, 60)} | {(100, "deleted"), (101, "late"), (102, "deleted"), (103, "missing"), (107, "missing")}
+    for limits in ({}, {"max_bits": 64, "broadcast_rows": 0}, {"broadcast_rows": 0, "hot_references": 0}):
+        rows = broken_references(refs, parents, **limits).collect()
+        assert {(r["row_key"], r["ref_state"]) for r in rows} == want and len(rows) == len(want)
     assert broken_references(refs.limit(0), parents).collect() == []
     assert {r["ref_state"] for r in broken_references(refs, parents.limit(0)).collect()} == {"missing"}

@@ -4,9 +4,10 @@ valid for the event's period and already known at the event's moment.
 Entities are hash-partitioned into buckets. In each bucket an embedded DuckDB
 builds, per entity and period, the chain of current-state versions ordered by
 the moment they became known, resolves ties before the join, and runs one
-``ASOF LEFT JOIN``. An entity with more rows than ``hot_rows`` is cut by period
-and by slices of time; a slice starts with the state carried over from the
-slices before it, so its rows spread over many buckets with the same result.
+``ASOF LEFT JOIN``. The rows of an entity with more than ``hot_rows`` rows, or
+with a longer chain than ``chain_rows``, are sorted by period and time and cut into
+units of equal size, wherever they lie; a unit starts with the state carried over
+from those before it, so a hot entity spreads over many buckets with the same result.
 """
 
 from __future__ import annotations
@@ -17,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.session import broadcast_if_small, clean_label, parallelism
+from weftline.session import broadcast_if_small, checkpoint, clean_label, parallelism
 
 #: Rows of one bucket, both sides together.
 BUCKET_ROWS = 150_000
-#: Entities with more rows than this are cut by period and time slice.
+#: Entities with more rows than this, or more pairs of a period and a version, are cut into units of the rows' order.
 HOT_ROWS = 50_000
-SLICE_SECONDS = 86_400
+CHAIN_ROWS = 1_000_000
 
 _SQL = """
 WITH ev AS (
@@ -55,12 +56,13 @@ class AsofSpec:
 
     bucket_rows: int = BUCKET_ROWS
     hot_rows: int = HOT_ROWS
-    slice_seconds: int = SLICE_SECONDS
+    chain_rows: int = CHAIN_ROWS
 
 
 def _bucket_join(events: pa.Table, versions: pa.Table) -> pa.Table:
     import duckdb
 
+    # a bucket is small by its rows and chains, so nothing has to spill to a local folder
     con = duckdb.connect(config={"threads": 1, "temp_directory": ""})
     try:
         con.register("events", events)
@@ -94,19 +96,30 @@ def asof_versions(events: DataFrame, versions: DataFrame, spec: AsofSpec = AsofS
     events = events.select("_event", "_entity", "_period", "_at")
     versions = versions.select("_version", "_entity", "_first", "_last", "_from", "_known").dropna().filter("_first <= _last")
     whole = events.filter(F.col("_entity").isNotNull() & F.col("_period").isNotNull() & F.col("_at").isNotNull())
+    mark_of = lambda df, events: df.select("_entity", F.lit(events).alias("_e"), (F.col("_period") if events else F.lit(None).cast("int")).alias("_p"))
     counts = (
-        whole.select("_entity").unionAll(versions.select("_entity")).groupBy("_entity").agg(F.count(F.lit(1)).alias("_n"))
+        mark_of(whole, 1)
+        .unionAll(mark_of(versions, 0))
+        .groupBy("_entity")
+        .agg(F.count(F.lit(1)).alias("_n"), F.sum("_e").cast("bigint").alias("_events"), (F.max("_p") - F.min("_p") + 1).alias("_span"))
+        # a version meets each asked period at most once
+        .withColumn("_chain", F.coalesce((F.col("_n") - F.col("_events")) * F.least(F.col("_events"), F.col("_span").cast("bigint")), F.lit(0)))
     )
-    hot = counts.filter(F.col("_n") > spec.hot_rows).select("_entity")
-    facts = counts.agg(F.sum("_n").alias("rows"), F.count_if(F.col("_n") > spec.hot_rows).alias("hot")).first()
+    is_hot = (F.col("_n") > spec.hot_rows) | (F.col("_chain") > spec.chain_rows)
+    hot = counts.filter(is_hot).select("_entity")
+    facts = counts.agg(
+        F.sum("_n").alias("rows"), F.count_if(is_hot).alias("hot"), F.sum(F.when(~is_hot, F.col("_chain"))).alias("chains"), F.sum(F.when(is_hot, F.col("_n"))).alias("hot_n")
+    ).first()
     rows, n_hot = facts["rows"] or 0, facts["hot"]
-    buckets = max(parallelism(spark), -(-rows // spec.bucket_rows))
+    # chains count a tenth, as most versions are not active in most periods
+    buckets = max(parallelism(spark), -(-rows // spec.bucket_rows), -(-(facts["chains"] or 0) // (10 * spec.bucket_rows)))
     cold_events, cold_versions = whole, versions
     parts: list[tuple[DataFrame, DataFrame]] = []
     if n_hot:
         mark = broadcast_if_small(hot, n_hot)
         cold_events, cold_versions = whole.join(mark, "_entity", "left_anti"), versions.join(mark, "_entity", "left_anti")
-        parts.append(_hot_units(whole.join(mark, "_entity", "left_semi"), versions.join(mark, "_entity", "left_semi"), spec, buckets))
+        n_units = max(parallelism(spark), -(-(facts["hot_n"] or 0) // spec.bucket_rows))
+        parts.append(_hot_units(whole.join(mark, "_entity", "left_semi"), versions.join(mark, "_entity", "left_semi"), n_units, buckets))
     entity_bucket = F.pmod(F.xxhash64("_entity"), F.lit(buckets)).cast("int").alias("_bucket")
     parts.append((cold_events.select("*", entity_bucket), cold_versions.select("*", entity_bucket)))
     left, right = parts[-1]
@@ -122,37 +135,41 @@ def asof_versions(events: DataFrame, versions: DataFrame, spec: AsofSpec = AsofS
     return joined.unionByName(lacking)
 
 
-def _hot_units(events: DataFrame, versions: DataFrame, spec: AsofSpec, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """Cuts hot entities into units of one period and one slice of time."""
-    step = spec.slice_seconds * 1_000_000
+def _hot_units(events: DataFrame, versions: DataFrame, n_units: int, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Cuts the rows of hot entities, in the order of entity, period and time, into units of equal size.
+
+    The cut may fall anywhere, also between events of one moment, as a unit takes the
+    best version of all units before it along. Units are numbered from ``buckets`` on.
+    """
     events = events.groupBy("_event", "_entity", "_period").agg(F.min("_at").alias("_at"))
-    events = events.withColumn("_slice", F.floor(F.col("_at") / step))
     versions = versions.groupBy("_version", "_entity", "_first", "_last", "_from").agg(F.min("_known").alias("_known"))
-    asked = events.select("_entity", "_period", "_slice").distinct()
-    # a hot entity has few periods, so the versions are spread over those it is asked for
-    periods = asked.groupBy("_entity").agg(F.collect_set("_period").alias("_periods"))
+    # periods are few by their meaning (years), so an entity's set of them is short however many events it has
+    periods = events.groupBy("_entity").agg(F.collect_set("_period").alias("_periods"))
+    best = F.max(F.struct("_from", "_known", "_version")).alias("_best")
+    # of the versions that became known at one moment only the best can ever be used
     spread = (
         versions.join(periods, "_entity")
         .select("*", F.explode(F.filter("_periods", lambda p: p.between(F.col("_first"), F.col("_last")))).alias("_period"))
-        .select("_entity", "_period", F.floor(F.col("_known") / step).alias("_slice"), "_from", "_known", "_version")
+        .groupBy("_entity", "_period", F.col("_known").alias("_at"))
+        .agg(best)
     )
-    best = spread.groupBy("_entity", "_period", "_slice").agg(F.max(F.struct("_from", "_known", "_version")).alias("_best"))
-    slices = best.unionByName(asked.select("*", F.lit(None).cast("struct<_from:int,_known:bigint,_version:bigint>").alias("_best")))
-    slices = slices.groupBy("_entity", "_period", "_slice").agg(F.max("_best").alias("_best"))
-    before = Window.partitionBy("_entity", "_period").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        slices.select("_entity", "_period", "_slice", F.max("_best").over(before).alias("_best"))
-        .filter("_best IS NOT NULL")
-        .select("_entity", "_period", "_slice", "_best.*")
+    none = F.lit(None).cast(spread.schema["_best"].dataType)
+    rows = spread.select("_entity", "_period", "_at", F.lit(None).cast("bigint").alias("_event"), "_best").unionByName(
+        events.select("_entity", "_period", "_at", "_event", none.alias("_best"))
     )
-    units = spread.unionByName(carried)
-    unit = F.pmod(F.xxhash64("_entity", "_period", "_slice"), F.lit(buckets)).cast("int").alias("_bucket")
-    # the slice joins the entity's id, so that slices of one entity in one bucket stay apart
-    own = F.xxhash64("_entity", "_slice").alias("_entity")
+    # a version comes before the events of its moment: nulls are first
+    ordered = rows.repartitionByRange(n_units, "_entity", "_period", "_at", F.col("_event").asc_nulls_first())
+    # written once, as a range computed again could be cut elsewhere
+    ordered = checkpoint(ordered.withColumn("_unit", F.spark_partition_id()))
+    upto = ordered.groupBy("_entity", "_period", "_unit").agg(F.max("_best").alias("_best"))
+    before = Window.partitionBy("_entity", "_period").orderBy("_unit").rowsBetween(Window.unboundedPreceding, -1)
+    carried = upto.select("_entity", "_period", "_unit", F.max("_best").over(before).alias("_best"))
+    states = ordered.select("_entity", "_period", "_unit", "_best").unionByName(carried).filter("_best IS NOT NULL")
+    bucket = (F.col("_unit") + buckets).alias("_bucket")
     period = F.col("_period")
     return (
-        events.select("_event", own, "_period", "_at", unit),
-        units.select("_version", own, period.alias("_first"), period.alias("_last"), "_from", "_known", unit),
+        ordered.filter("_event IS NOT NULL").select("_event", "_entity", "_period", "_at", bucket),
+        states.select("_best._version", "_entity", period.alias("_first"), period.alias("_last"), "_best._from", "_best._known", bucket),
     )
 
 

@@ -23,7 +23,8 @@ def sweep_periods(boundaries: DataFrame, keys: list[str]) -> DataFrame:
     ``boundaries`` has the key columns, ``_at`` (a position), ``_delta`` (+1 where an
     interval starts, -1 behind its end) and ``_starts`` (intervals that start there);
     rows of one key and position are summed first, which also takes the weight off
-    hot keys, as a key then has one row per position. Returns the keys, ``span_kind``
+    hot keys, as a key then has one row per position; positions have to be few for a
+    key (years, days), as one task sweeps over them. Returns the keys, ``span_kind``
     ("merged" for each period, "gap" between two), ``at_from``, ``at_to`` and
     ``n_intervals`` (null for gaps). Touching intervals form one period. Null keys
     are keys like others; rows with a null position are left out.

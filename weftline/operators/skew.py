@@ -5,8 +5,9 @@ The rows are first reduced to counts per key and value, which merge anywhere and
 spread a hot key over all tasks. Keys with up to ``hot_records`` records resolve
 at that finest resolution. For the others a histogram of ``bins`` counts per key
 and sought rank is refined round by round: the bin that holds the rank becomes
-the next range, until it holds one value. A hot key's values are never gathered;
-a round moves at most ``bins`` counts per hot key and rank.
+the next range, until it holds one value. The open ranges are a table like any
+other, so there may be any number of hot keys. A hot key's values are never
+gathered; a round moves at most ``bins`` counts per hot key and rank from each task.
 """
 
 from __future__ import annotations
@@ -14,14 +15,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from decimal import Decimal
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.session import broadcast_if_small, checkpoint
+
 BINS = 256
 HOT_RECORDS = 10_000
-#: Hot keys are at most this many, as each has more than 1/HOT_KEYS of the records.
-HOT_KEYS = 10_000
+#: Ranges whose ends are so far apart are cut by size, not by width, so that few rounds do.
+FAR = float(1 << 20)
 
 
 def nearest_rank(n: Column, prob: str | float | Decimal) -> Column:
@@ -45,92 +47,85 @@ def keyed_histogram(df: DataFrame, key: Column, value: Column, record: Column) -
     return once.groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def keyed_quantiles(hist: DataFrame, probs: Sequence[str] = ("0.5", "0.95"), hot_records: int = HOT_RECORDS, bins: int = BINS) -> DataFrame:
+def key_totals(hist: DataFrame) -> DataFrame:
+    """``key, n_records, n_values, lo, hi`` of each key that isn't null."""
+    return hist.filter("key IS NOT NULL").groupBy("key").agg(
+        F.sum("n").alias("n_records"),
+        F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("n_values"),
+        F.min("value").alias("lo"),
+        F.max("value").alias("hi"),
+    )
+
+
+def keyed_quantiles(hist: DataFrame, probs: Sequence[str] = ("0.5", "0.95"), hot_records: int = HOT_RECORDS, bins: int = BINS, only: DataFrame | None = None) -> DataFrame:
     """Per key its records, its finite values and exact nearest-rank quantiles.
 
     ``hist`` is a table of ``key, value, n`` as by :func:`keyed_histogram`, or the
     union of several (from other files or days). Returns ``key, n_records, n_values``
     and one column per quantile, ``q0_5`` for "0.5"; null where a key has no finite
-    value. Null keys give no row. An empty table gives no rows.
+    value. Null keys give no row. An empty table gives no rows. ``only`` names the
+    keys asked for, as a short list in a column ``key``.
     """
-    spark = hist.sparkSession
-    hist = hist.select("key", "value", "n").filter("key IS NOT NULL").persist(StorageLevel.MEMORY_AND_DISK)
-    stats = hist.groupBy("key").agg(
-        F.sum("n").alias("n_records"),
-        F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("n_values"),
-        F.min("value").alias("lo"),
-        F.max("value").alias("hi"),
-    )
-    total = hist.agg(F.sum("n")).first()[0] or 0
-    limit = max(hot_records, -(-total // HOT_KEYS))
-    hot = stats.filter(F.col("n_values") > limit).collect()  # at most HOT_KEYS rows
+    hist = hist.select("key", "value", "n").filter("key IS NOT NULL")
+    if only is not None:
+        hist = hist.join(F.broadcast(only.select("key").distinct()), "key", "left_semi")
+    # written once, in the shared folder, as each round reads it
+    hist = checkpoint(hist.groupBy("key", "value").agg(F.sum("n").alias("n")))
+    stats = key_totals(hist)
+    hot = checkpoint(stats.filter(F.col("n_values") > hot_records))
+    n_hot = hot.count()
     names = {p: "q" + str(p).replace(".", "_") for p in probs}
     values = hist.filter("value IS NOT NULL")
-    if hot:
-        hot_df = spark.createDataFrame([(r["key"],) for r in hot], f"key {hist.schema['key'].dataType.simpleString()}")
-        cold_values = values.join(F.broadcast(hot_df), "key", "left_anti")
-    else:
-        cold_values = values
+    cold_values = values.join(broadcast_if_small(hot.select("key"), n_hot), "key", "left_anti") if n_hot else values
+    # a cold key has at most hot_records values
     by_value = Window.partitionBy("key").orderBy("value")
     upto = by_value.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    merged = cold_values.groupBy("key", "value").agg(F.sum("n").alias("n"))
-    ranked = merged.select("key", "value", F.sum("n").over(upto).alias("cum"), F.sum("n").over(Window.partitionBy("key")).alias("all"))
+    ranked = cold_values.select("key", "value", F.sum("n").over(upto).alias("cum"), F.sum("n").over(Window.partitionBy("key")).alias("all"))
     picked = ranked.groupBy("key").agg(
         *[F.min(F.when(F.col("cum") >= nearest_rank(F.col("all"), p), F.col("value"))).alias(names[p]) for p in probs]
     )
-    if hot:
-        found = _refine(values, hot, probs, bins)
-        rows = [(r["key"], *[found[(r["key"], p)] for p in probs]) for r in hot]
-        kind = hist.schema["key"].dataType.simpleString()
-        picked = picked.unionByName(spark.createDataFrame(rows, f"key {kind}, " + ", ".join(f"{names[p]} double" for p in probs)))
+    if n_hot:
+        found = _refine(values, hot, n_hot, probs, bins)
+        wide = found.groupBy("key").agg(*[F.max(F.when(F.col("prob") == str(p), F.col("lo"))).alias(names[p]) for p in probs])
+        picked = picked.unionByName(wide)
     return stats.join(picked, "key", "left").select("key", "n_records", "n_values", *names.values())
 
 
-def _refine(values: DataFrame, hot: list, probs: Sequence[str], bins: int) -> dict:
-    """Exact quantiles of the hot keys; only counts per bin reach the driver."""
-    spark = values.sparkSession
-    kind = values.schema["key"].dataType.simpleString()
-    done: dict = {}
-    # key, probability, rank within the range, range
-    open_: list[tuple] = []
-    for r in hot:
-        for p in probs:
-            share = Decimal(str(p))
-            rank = max(1, -int(-(r["n_values"] * share) // 1))
-            open_.append((r["key"], str(p), rank, r["lo"], r["hi"]))
-    while open_:
-        for key, p, _, lo, hi in open_:
-            if lo == hi:
-                done[(key, p)] = lo
-        open_ = [x for x in open_ if x[3] != x[4]]
-        if not open_:
-            break
-        ranges = sorted({(k, lo, hi) for k, _, _, lo, hi in open_}, key=str)
-        asked = F.broadcast(spark.createDataFrame(ranges, f"key {kind}, lo double, hi double"))
-        # halves, so that the width of the range can't overflow
-        place = (F.col("value") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+def _refine(values: DataFrame, hot: DataFrame, n_hot: int, probs: Sequence[str], bins: int) -> DataFrame:
+    """``key, prob, lo``: the exact quantiles of the hot keys."""
+    ranks = F.array(*[F.struct(F.lit(str(p)).alias("prob"), nearest_rank(F.col("n_values"), p).alias("rank")) for p in probs])
+    open_ = hot.select("key", "lo", "hi", F.inline(ranks))
+    # only hot keys' counts are read in the rounds
+    held = values.join(broadcast_if_small(hot.select("key"), n_hot), "key", "left_semi")
+    done = open_.filter("lo = hi").select("key", "prob", "lo")
+    open_ = open_.filter("lo < hi")
+    lo, hi, value = F.col("lo"), F.col("hi"), F.col("value")
+    # halves, so that the width of the range can't overflow
+    by_width = (value / 2 - lo / 2) / (hi / 2 - lo / 2)
+    size = lambda x: F.signum(x) * F.log1p(F.abs(x) * F.lit(1e12))
+    by_size = (size(value) - size(lo)) / (size(hi) - size(lo))
+    ends = F.greatest(F.abs(lo), F.abs(hi)) / F.least(F.abs(lo), F.abs(hi))
+    far = (ends > FAR) & (size(hi) > size(lo))
+    place = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor(F.when(F.coalesce(far, F.lit(False)), by_size).otherwise(by_width) * bins)))
+    before = Window.partitionBy("key", "lo", "hi").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    while n := open_.count():
+        ranges = open_.select("key", "lo", "hi").distinct()
         counts = (
-            values.join(asked, "key")
-            .filter(F.col("value").between(F.col("lo"), F.col("hi")))
-            .groupBy("key", "lo", "hi", F.least(F.lit(bins - 1), F.floor(place * bins)).alias("bin"))
+            held.join(broadcast_if_small(ranges, n), "key")
+            .filter(value.between(lo, hi))
+            .groupBy("key", "lo", "hi", place.alias("bin"))
             .agg(F.sum("n").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+            .withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
         )
-        bins_of: dict = {}
-        for r in counts.collect():  # at most bins per hot key and sought rank
-            bins_of.setdefault((r["key"], r["lo"], r["hi"]), []).append((r["bin"], r["n"], r["least"], r["most"]))
-        narrowed = []
-        for key, p, rank, lo, hi in open_:
-            for _, n, least, most in sorted(bins_of[(key, lo, hi)]):
-                if rank <= n:
-                    narrowed.append((key, p, rank, least, most))
-                    break
-                rank -= n
-        open_ = narrowed
+        narrowed = open_.join(counts, ["key", "lo", "hi"]).filter((F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("before") + F.col("n")))
+        narrowed = checkpoint(narrowed.select("key", "prob", (F.col("rank") - F.col("before")).alias("rank"), F.col("least").alias("lo"), F.col("most").alias("hi")))
+        done = done.unionByName(narrowed.filter("lo = hi").select("key", "prob", "lo"))
+        open_ = narrowed.filter("lo < hi")
     return done
 
 
 def heavy_keys(quantiles: DataFrame, total_records: int, share: str = "0.02") -> DataFrame:
-    """The keys of :func:`keyed_quantiles` that hold at least ``share`` of all records."""
+    """The keys of :func:`keyed_quantiles` or :func:`key_totals` that hold at least ``share`` of all records."""
     part = Decimal(share)
     top = 10 ** max(0, -part.as_tuple().exponent)
     return quantiles.filter(F.col("n_records") * top >= F.lit(int(total_records * int(part * top))))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators.asof import employment_asof
+from weftline.operators.asof import AsofSpec, employment_asof
 from weftline.operators.intervals import edge_periods
 from weftline.operators.references import broken_references, film_parents, film_references
-from weftline.operators.skew import heavy_keys, keyed_histogram, keyed_quantiles
-from weftline.session import table
+from weftline.operators.skew import HOT_RECORDS, heavy_keys, key_totals, keyed_histogram, keyed_quantiles
+from weftline.session import checkpoint, table
 
 _MONTH = "yyyy-MM"
 
@@ -22,33 +22,58 @@ def p1_events(spark: SparkSession, d: str) -> DataFrame:
     return employment_asof(table(spark, d, "cast_year_cache"), table(spark, d, "edges"))
 
 
-def _edge_quantiles(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+def p1_hot_events(spark: SparkSession, d: str) -> DataFrame:
+    """As p1_events, with so low limits that most people of small tables are cut into units."""
+    spec = AsofSpec(bucket_rows=500, hot_rows=8, chain_rows=30)
+    return employment_asof(table(spark, d, "cast_year_cache"), table(spark, d, "edges"), spec)
+
+
+def _edge_histogram(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Counts per company and weight, and the records."""
     edges = table(spark, d, "edges")
-    hist = keyed_histogram(edges, F.col("src_id"), F.col("weight"), F.col("row_id"))
-    return keyed_quantiles(hist), edges.select("row_id").distinct().count()
+    return keyed_histogram(edges, F.col("src_id"), F.col("weight"), F.col("row_id")), edges.select("row_id")
 
 
-def _cast_quantiles(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+def _cast_histogram(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     cast = table(spark, d, "cast_ensemble")
     people = cast.select("title_id", "year", F.explode(F.filter("cast_ids", lambda x: x > 0)).alias("person"))
-    hist = keyed_histogram(people, F.col("person"), F.col("year"), F.col("title_id"))
-    return keyed_quantiles(hist), cast.select("title_id").distinct().count()
+    return keyed_histogram(people, F.col("person"), F.col("year"), F.col("title_id")), cast.select("title_id")
+
+
+def p2_heavy(spark: SparkSession, d: str, hot_records: int = HOT_RECORDS) -> DataFrame:
+    """The keys with at least 2 % of the records, with exact quantiles of their values.
+
+    Counts come first; values of other keys than these few (50 at most a table) aren't sought.
+    """
+    found = []
+    for name, made in (("edges", _edge_histogram), ("cast_ensemble", _cast_histogram)):
+        hist, records = made(spark, d)
+        hist = checkpoint(hist)
+        heavy = checkpoint(heavy_keys(key_totals(hist), records.distinct().count()).select("key"))
+        found.append(keyed_quantiles(hist, hot_records=hot_records, only=heavy).withColumn("table_name", F.lit(name)))
+    both = found[0].unionByName(found[1])
+    return both.select("table_name", F.col("key").alias("key_id"), "n_records", "n_values", "q0_5", "q0_95")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    found = [
-        heavy_keys(*made(spark, d)).select(F.lit(name).alias("table_name"), F.col("key").alias("key_id"))
-        for name, made in (("edges", _edge_quantiles), ("cast_ensemble", _cast_quantiles))
-    ]
-    return found[0].unionByName(found[1])
+    return p2_heavy(spark, d).select("table_name", "key_id")
 
 
 def p2_edge_weights(spark: SparkSession, d: str) -> DataFrame:
-    return _edge_quantiles(spark, d)[0].withColumnRenamed("key", "src_id")
+    return keyed_quantiles(_edge_histogram(spark, d)[0]).withColumnRenamed("key", "src_id")
 
 
 def p2_cast_years(spark: SparkSession, d: str) -> DataFrame:
-    return _cast_quantiles(spark, d)[0].withColumnRenamed("key", "person_id")
+    return keyed_quantiles(_cast_histogram(spark, d)[0]).withColumnRenamed("key", "person_id")
+
+
+def p2_edge_weights_refined(spark: SparkSession, d: str) -> DataFrame:
+    """As p2_edge_weights, with so low a limit that keys of small tables are refined too."""
+    return keyed_quantiles(_edge_histogram(spark, d)[0], hot_records=20, bins=8).withColumnRenamed("key", "src_id")
+
+
+def p2_cast_years_refined(spark: SparkSession, d: str) -> DataFrame:
+    return keyed_quantiles(_cast_histogram(spark, d)[0], hot_records=20, bins=8).withColumnRenamed("key", "person_id")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -61,23 +86,29 @@ def p3_periods(spark: SparkSession, d: str) -> DataFrame:
     return edge_periods(table(spark, d, "edges"))
 
 
-def _broken(spark: SparkSession, d: str) -> DataFrame:
+def _broken(spark: SparkSession, d: str, **limits: int) -> DataFrame:
     refs = film_references(table(spark, d, "edges"), table(spark, d, "movie_context"))
     parents = film_parents(table(spark, d, "person"), table(spark, d, "company"))
-    return broken_references(refs, parents).withColumn("ref_month", F.date_format("at", _MONTH))
+    return broken_references(refs, parents, **limits).withColumn("ref_month", F.date_format("at", _MONTH))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return _broken(spark, d).select("table_name", "ref_field", "row_key", "ref_state", "ref_month")
 
 
+def p4_found_split(spark: SparkSession, d: str) -> DataFrame:
+    """As p4_found, with a filter too small for the parents and limits that split the list of suspicious keys."""
+    found = _broken(spark, d, max_bits=4096, broadcast_rows=10, hot_references=50)
+    return found.select("table_name", "ref_field", "row_key", "ref_state", "ref_month")
+
+
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return _broken(spark, d).groupBy("table_name", "ref_field", "ref_state", "ref_month").agg(F.count(F.lit(1)).alias("n_refs"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_events, p2_found, p2_edge_weights, p2_cast_years, p3_found, p3_periods, p4_found, p4_report)
+    for f in (p1_found, p1_events, p1_hot_events, p2_found, p2_heavy, p2_edge_weights, p2_cast_years, p2_edge_weights_refined, p2_cast_years_refined, p3_found, p3_periods, p4_found, p4_found_split, p4_report)
 }
 
 _P1 = """
@@ -165,11 +196,18 @@ HAVING count(DISTINCT title_id) * 50 >= (SELECT count(DISTINCT title_id) FROM ca
 ORACLE = {
     "p1_found": _P1 + "SELECT cache_id, row_id FROM best WHERE rn = 1",
     "p1_events": _P1 + "SELECT e.cache_id, b.row_id, b.known AS known_at FROM e LEFT JOIN best b ON b.cache_id = e.cache_id AND b.rn = 1",
+    "p1_hot_events": _P1 + "SELECT e.cache_id, b.row_id, b.known AS known_at FROM e LEFT JOIN best b ON b.cache_id = e.cache_id AND b.rn = 1",
     "p2_found": _HEAVY,
     "p2_edge_weights": _EDGE_HIST + _QUANTILES.format(key="src_id"),
     "p2_cast_years": _CAST_HIST + _QUANTILES.format(key="person_id"),
+    "p2_edge_weights_refined": _EDGE_HIST + _QUANTILES.format(key="src_id"),
+    "p2_cast_years_refined": _CAST_HIST + _QUANTILES.format(key="person_id"),
+    "p2_heavy": _EDGE_HIST + f", e AS ({_QUANTILES.format(key='key_id')}), s AS (" + _CAST_HIST.strip().removeprefix("WITH r AS (").removesuffix(")") + f"), c AS ({_QUANTILES.format(key='key_id').replace('FROM r)', 'FROM s)')})"
+    """ SELECT 'edges' AS table_name, * FROM e WHERE key_id IS NOT NULL AND n_records * 50 >= (SELECT count(DISTINCT row_id) FROM edges)
+    UNION ALL SELECT 'cast_ensemble', * FROM c WHERE n_records * 50 >= (SELECT count(DISTINCT title_id) FROM cast_ensemble)""",
     "p3_found": _P3 + "SELECT src_id, dst_id, edge_type, span_kind, year_from, year_to FROM s WHERE span_kind = 'gap' OR n_versions >= 2",
     "p3_periods": _P3 + "SELECT * FROM s",
     "p4_found": _P4 + "SELECT * FROM bad",
+    "p4_found_split": _P4 + "SELECT * FROM bad",
     "p4_report": _P4 + "SELECT table_name, ref_field, ref_state, ref_month, count(*) AS n_refs FROM bad GROUP BY ALL",
 }
