@@ -95,31 +95,30 @@ def smoothed(df: DataFrame, group: str, order: str, signal: str, keep: float, st
 
 
 def spaced_years(df: DataFrame, group: str, order: str, year: str, gap: int) -> DataFrame:
-    """``group, order, year, spaced``: each year at least ``gap`` after the spaced year before it."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(year).cast("int").alias("y"))))
-    nxt = lambda acc, x: F.when(F.size(acc) == 0, x["y"]).otherwise(F.greatest(x["y"], F.element_at(acc, -1)["s"] + gap))
-    kind = df.schema[order].dataType.simpleString()
-    empty = F.array().cast(f"array<struct<o:{kind},y:int,s:int>>")
-    step = lambda acc, x: F.concat(acc, F.array(F.struct(x["o"].alias("o"), x["y"].alias("y"), nxt(acc, x).alias("s"))))
-    folded = df.groupBy(group).agg(rows.alias("r")).select(group, F.explode(F.aggregate("r", empty, step)).alias("x"))
-    return folded.select(group, F.col("x.o").alias(order), F.col("x.y").alias(year), F.col("x.s").alias("spaced"))
+    """``group, order, year, spaced``: each year at least ``gap`` after the spaced year before it.
+
+    The n-th spaced year is ``n * gap`` more than the most any year up to it exceeds its own ``n * gap``.
+    """
+    inside = Window.partitionBy(group).orderBy(order, year)
+    moved = F.row_number().over(inside) * gap
+    df = df.select(group, order, F.col(year).cast("int").alias(year), moved.alias("_m"))
+    most = F.max(F.col(year) - F.col("_m")).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return df.select(group, order, year, (most + F.col("_m")).alias("spaced"))
 
 
 def strongest_with_validity(df: DataFrame, keys: list[str], seq: str, weight: str, low: str, high: str) -> DataFrame:
-    """One row per key by a fold in the order of ``seq``.
+    """One row per key: what a pass in the order of ``seq`` would keep.
 
     A heavier duplicate replaces the kept row with its own interval; one of equal or
-    less weight cuts the kept interval down to what both share. Null ends are open, and
-    a null weight is less than any other.
+    less weight cuts the kept interval down to what both share. So the first of the
+    heaviest stays, cut by all that follow it. Null ends are open, and a null weight is
+    less than any other.
     """
-    item = F.struct(F.col(seq).alias("q"), F.col(weight).cast("double").alias("w"), F.col(low).cast("int").alias("l"), F.col(high).cast("int").alias("h"))
-    rows = F.array_sort(F.collect_list(item))
-
-    def step(acc: Column, x: Column) -> Column:
-        cut = F.struct(acc["q"].alias("q"), acc["w"].alias("w"), F.greatest(acc["l"], x["l"]).alias("l"), F.least(acc["h"], x["h"]).alias("h"))
-        least = F.lit(float("-inf"))
-        return F.when(F.coalesce(x["w"], least) > F.coalesce(acc["w"], least), x).otherwise(cut)
-
-    grouped = df.groupBy(*keys).agg(rows.alias("r"))
-    folded = grouped.select(*keys, F.aggregate(F.slice("r", 2, 2_000_000_000), F.col("r")[0], step).alias("x"))
-    return folded.select(*keys, F.col("x.w").alias(weight), F.col("x.l").alias(low), F.col("x.h").alias(high))
+    of_key = Window.partitionBy(*keys)
+    w = F.coalesce(F.col(weight).cast("double"), F.lit(float("-inf")))
+    marked = df.select(*keys, F.col(seq).alias("_q"), w.alias("_w"), F.col(low).cast("int").alias(low), F.col(high).cast("int").alias(high))
+    marked = marked.withColumn("_most", F.max("_w").over(of_key))
+    marked = marked.withColumn("_first", F.min(F.when(F.col("_w") == F.col("_most"), F.col("_q"))).over(of_key))
+    kept = marked.filter(F.col("_q") >= F.col("_first")).groupBy(*keys)
+    most = F.max("_most")
+    return kept.agg(F.when(most > float("-inf"), most).alias(weight), F.max(low).alias(low), F.min(high).alias(high))

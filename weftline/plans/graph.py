@@ -111,9 +111,11 @@ def stateful_regime(spark, d):
     return sequences.smoothed(days, "k", "day", "s", 0.72).withColumn("state", F.round("state", 4))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE n AS (SELECT person, title_id, year, row_number() OVER (PARTITION BY person ORDER BY title_id, year) AS k FROM ({_CASTS})),
+s AS (SELECT person, title_id, year, k, year AS spaced FROM n WHERE k = 1 UNION ALL
+SELECT n.person, n.title_id, n.year, n.k, greatest(n.year, s.spaced + 2) FROM s JOIN n ON n.person = s.person AND n.k = s.k + 1) SELECT person, title_id, year, spaced FROM s""")
 def min_gap_years(spark, d):
-    """Years of a person's films moved at least two years apart; a fold, held against a loop in the tests."""
+    """Years of a person's films moved at least two years apart."""
     films = casts(spark, d)
     return sequences.spaced_years(films, "person", "title_id", "year", 2)
 
@@ -242,9 +244,25 @@ def degree_percentiles(spark, d):
     return g.agg(F.count(F.lit(1)).alias("vertices"), q(0.5).alias("q50"), q(0.75).alias("q75"), q(0.9).alias("q90"), q(0.99).alias("q99"), F.max("degree").alias("most"))
 
 
-@query(None)
+#: The least vertex that reaches each vertex; a label is kept once for each vertex.
+_COMPONENTS = f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM ({_VERSIONS}) WHERE src <> dst AND kind NOT IN (
+ 'brand_fit', 'employment', 'blacklist', 'exclusive_deal', 'co_production', 'market_rival', 'subsidiary')),
+u AS (SELECT src AS v, dst AS w FROM e UNION SELECT dst, src FROM e),
+c(v, component) USING KEY (v) AS (SELECT v, min(w) FROM (SELECT v, w FROM u UNION ALL SELECT v, v FROM u) GROUP BY v
+ UNION SELECT u.v, min(c.component) FROM c JOIN u ON u.w = c.v JOIN recurring.c AS r ON r.v = u.v WHERE c.component < r.component GROUP BY u.v)"""
+
+
+@query(_COMPONENTS + " SELECT count(*) AS vertices, count(DISTINCT component) AS components, max(n) AS largest, round(max(n)::DOUBLE / count(*), 8) AS share FROM (SELECT *, count(*) OVER (PARTITION BY component) AS n FROM c)")
+def component_share(spark, d):
+    """Share of the vertices that are in the largest connected group."""
+    sizes = components(spark, d).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    got = sizes.agg(F.sum("n").alias("vertices"), F.count(F.lit(1)).alias("components"), F.max("n").alias("largest"))
+    return got.withColumn("share", F.round(F.try_divide("largest", "vertices"), 8))
+
+
+@query(_COMPONENTS + " SELECT v, component FROM c")
 def components(spark, d):
-    """Connected groups over the edges of all kinds that join people; held against a union-find in the tests.
+    """Connected groups over the edges of all kinds that join people.
 
     Ends without a person's record are vertices too.
     """
@@ -308,12 +326,13 @@ def _vector_topk(vectors: DataFrame, keep: int, block: int = 2_000) -> DataFrame
 
 
 @query(f"""WITH v AS (SELECT row_number() OVER (ORDER BY row_id) AS seq, kind, least(src, dst) AS a, greatest(src, dst) AS b, w::DOUBLE AS w, vf, vt, row_id FROM ({_VERSIONS}) WHERE kind = 'friendship'),
-g AS (SELECT a, b, count(*) AS n, max(w) AS best FROM v GROUP BY ALL) SELECT a AS src, b AS dst, round(best, 6) AS w FROM g""")
+f AS (SELECT *, first_value(seq) OVER (PARTITION BY a, b ORDER BY w DESC NULLS LAST, seq) AS kept FROM v)
+SELECT a AS src, b AS dst, round(max(w), 6) AS w, max(vf) AS vf, min(vt) AS vt FROM f WHERE seq >= kept GROUP BY ALL""")
 def dedupe_strongest(spark, d):
-    """The strongest version of each friendship; the fold of its validity is checked by hand in the tests."""
+    """The strongest version of each friendship, its validity cut by those after it."""
     v = graph.canonical(versions(spark, d)).filter("kind = 'friendship'")
     kept = sequences.strongest_with_validity(v.withColumn("w", F.col("w").cast("double")), ["src", "dst"], "row_id", "w", "vf", "vt")
-    return kept.select("src", "dst", F.round("w", 6).alias("w"))
+    return kept.select("src", "dst", F.round("w", 6).alias("w"), "vf", "vt")
 
 
 # ---- more of the graph
