@@ -257,6 +257,74 @@ def similarity(style, genres, tags, scalars, budget, style_kind) -> Column:
     )
 
 
+def active_or_all(versions: DataFrame, year: int, keys: list[str], null_from: str = "open") -> DataFrame:
+    """The versions active in a year, with ``active``; a group of ``keys`` without any active one keeps all of its own.
+
+    One aggregate of a flag per group, joined back; null keys are left out.
+    """
+    marked = versions.withColumn("active", F.coalesce(active(year, null_from), F.lit(False)))
+    any_active = marked.groupBy(*keys).agg(F.max("active").alias("_any"))
+    return marked.join(any_active, keys).filter(F.col("active") | ~F.col("_any")).drop("_any")
+
+
+def recent(df: DataFrame, key: str, at: str, order: str, hours: int, last: int) -> DataFrame:
+    """The ``last`` rows of each key within ``hours`` of the table's latest moment; ties go to the greater ``order``."""
+    latest = df.agg(F.max(at)).first()[0]
+    if latest is None:
+        return df.limit(0)
+    fresh = df.filter(F.col(at) > F.lit(latest) - F.make_interval(hours=F.lit(hours)))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(at), F.desc(order)))
+    return fresh.withColumn("_r", place).filter(F.col("_r") <= last).drop("_r")
+
+
+def bucketed(versions: DataFrame, buckets: dict[str, tuple[str, ...]]) -> DataFrame:
+    """``v, bucket, n, least, most``: how many others each vertex has in each bucket of kinds, with the ends of their range."""
+    bucket = F.coalesce(*[F.when(F.col("kind").isin(*kinds), name) for name, kinds in buckets.items()])
+    both = F.array(F.struct(F.col("src").alias("v"), F.col("dst").alias("w")), F.struct(F.col("dst").alias("v"), F.col("src").alias("w")))
+    others = versions.select(bucket.alias("bucket"), F.inline(both)).filter("bucket IS NOT NULL AND v IS NOT NULL AND w IS NOT NULL").distinct()
+    return others.groupBy("v", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("w").alias("least"), F.max("w").alias("most"))
+
+
+def pair_metrics(pairs: DataFrame, people: DataFrame, films: DataFrame) -> DataFrame:
+    """Features of given pairs ``x, y`` from ``people`` (``id, debut, tags, nationality, pop``) and ``films`` (``title_id, person``).
+
+    Pairs without both records are left out. Common films are found over the people of the
+    pairs only, from the side of the pair, so nobody's films are joined with themselves.
+    """
+    from weftline.functions.scalars import jaccard, split_list
+
+    one = lambda end, tag: people.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{tag}") for c in ("debut", "tags", "nationality", "pop")])
+    asked = pairs.select(F.explode(F.array("x", "y")).alias("person")).distinct()
+    theirs = films.join(asked, "person", "left_semi")
+    n = theirs.groupBy("person").agg(F.count(F.lit(1)).alias("n"))
+    common = (
+        pairs.join(theirs.withColumnRenamed("person", "x"), "x")
+        .join(theirs.withColumnRenamed("person", "y"), ["y", "title_id"])
+        .groupBy("x", "y")
+        .agg(F.count(F.lit(1)).alias("n_films"))
+    )
+    joined = pairs.join(one("x", "a"), "x").join(one("y", "b"), "y").join(common, ["x", "y"], "left")
+    joined = joined.join(n.select(F.col("person").alias("x"), F.col("n").alias("films_a")), "x", "left").join(n.select(F.col("person").alias("y"), F.col("n").alias("films_b")), "y", "left")
+    tags = jaccard(F.array_distinct(split_list(F.col("tags_a"))), F.array_distinct(split_list(F.col("tags_b"))))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
+    return joined.select(
+        "x", "y", F.abs(F.col("debut_a") - F.col("debut_b")).alias("debut_gap"), F.round(tags, 6).alias("tags"),
+        F.coalesce(F.col("nationality_a") == F.col("nationality_b"), F.lit(False)).alias("same_nation"),
+        F.round(F.abs(F.col("pop_a") - F.col("pop_b")), 6).alias("pop_gap"), zero("n_films"), zero("films_a"), zero("films_b"),
+    )
+
+
+def compacted(versions: DataFrame, keys: list[str], dead: Column, slots: int = 100_000, dead_share: float = 0.3) -> DataFrame:
+    """The versions without the dead ones of those groups that are due: with ``slots`` rows, or ``dead_share`` of them dead.
+
+    Adds ``_n`` and ``_dead``, the sizes before. The state of the living is the same before and after.
+    """
+    marked = versions.withColumn("_is_dead", dead)
+    sizes = marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.count_if("_is_dead").alias("_dead"))
+    due = (F.col("_n") >= slots) | (F.col("_dead") >= dead_share * F.col("_n"))
+    return marked.join(sizes, keys).filter(~(F.col("_is_dead") & due)).drop("_is_dead")
+
+
 def soft_active(year: int, seed: int = 42) -> Column:
     """Active in the year and drawn with a chance that rises with the weight."""
     return active(year) & (key_uniform(seed, F.col("row_id"), F.lit(year)) < 0.3 + 0.7 * F.coalesce("w", F.lit(0.0)))

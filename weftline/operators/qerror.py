@@ -75,3 +75,15 @@ def summary(results: DataFrame, group: str | None = None) -> DataFrame:
 def count_form(sql: str) -> str:
     """A query's count of result rows, for its true number of rows."""
     return f"SELECT count(*) AS n FROM ({sql.strip().rstrip(';')}) AS q"
+
+
+def scale_structure(results: DataFrame, rows: str, q: str) -> DataFrame:
+    """``bucket, n, mean_q, q_by_root, log_correlation`` by the decade of the true rows; rows and errors are above 0.
+
+    A correlation near 0 and an error by root that falls say that errors come from structure, not from size.
+    """
+    got = results.filter((F.col(rows) > 0) & (F.col(q) > 0))
+    return got.groupBy(F.floor(F.log10(rows)).cast("int").alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(q), 6).alias("mean_q"), F.round(F.avg(F.col(q) / F.sqrt(rows)), 6).alias("q_by_root"),
+        F.round(F.corr(F.log(rows), F.log(q)), 6).alias("log_correlation"),
+    )

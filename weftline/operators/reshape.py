@@ -84,3 +84,21 @@ def clamped_years(people: DataFrame, years: DataFrame, born: str, youngest: int
     span = years.groupBy("id").agg(F.min("year").alias("_first"), F.max("year").alias("_last"))
     held = F.greatest(F.col("_last") - oldest, F.least(F.col(born), F.col("_first") - youngest))
     return people.join(span, "id", "left").withColumn(born, F.when(F.col("_first").isNull(), F.col(born)).otherwise(held)).drop("_first", "_last")
+
+
+def first_column(df: DataFrame, name: str, candidates: list[str], default: str | None = None) -> DataFrame:
+    """Adds ``name``: of the candidate columns that the table has, the first that is filled, else the default."""
+    there = [F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in candidates if c in df.columns]
+    return df.withColumn(name, F.coalesce(*there, F.lit(default).cast("string")))
+
+
+def with_ids(df: DataFrame, column: str, order: list[str]) -> DataFrame:
+    """Rows whose id is null, not above 0, or used by a row before get ids above all others.
+
+    ``order`` has to tell rows apart; of rows with one id the first in it keeps the id.
+    """
+    again = F.row_number().over(Window.partitionBy(column).orderBy(*order))
+    marked = df.withColumn("_good", F.coalesce(F.col(column) > 0, F.lit(False)) & (again == 1))
+    top = marked.filter("_good").agg(F.max(column)).first()[0] or 0
+    good, bad = marked.filter("_good").drop("_good"), marked.filter("NOT _good").drop("_good", column)
+    return good.unionByName(dense_ids(bad, order, column, first=top + 1))
