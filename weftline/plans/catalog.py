@@ -56,6 +56,61 @@ CATALOG = {
     "cat_market_chain": "SELECT h.tier AS tier, count(*) AS n FROM link a, link b, house h WHERE a.kind = 'market_rival' AND b.kind = 'subsidiary' AND a.dst = b.src AND h.id = a.src GROUP BY h.tier",
 }
 
+_ACTIVE = "e.vf <= f.year AND (e.vt IS NULL OR e.vt >= f.year)"
+#: Two of a film's people with an edge of a kind that was valid in the film's year.
+CATALOG |= {
+    f"cat_together_{kind}": f"SELECT count(*) AS n, min(f.title) AS title, max(f.year) AS latest FROM link e, part_in p, part_in q, film f WHERE e.kind = '{kind}' AND e.src = p.person AND e.dst = q.person AND p.mid = q.mid AND f.mid = p.mid AND {_ACTIVE}"
+    for kind in ("mentorship", "chemistry", "collaboration", "clique", "former_collaborator")
+}
+#: From one person over two edges to another.
+CATALOG |= {
+    f"cat_path_{one}_{two}": f"SELECT count(*) AS n, min(a.src) AS least, max(b.dst) AS most FROM link a, link b WHERE a.kind = '{one}' AND b.kind = '{two}' AND a.dst = b.src AND a.src <> b.dst AND a.vf <= b.vf"
+    for one, two in (("mentorship", "chemistry"), ("chemistry", "rivalry"), ("clique", "mentorship"), ("mentorship", "rivalry"))
+}
+#: One pair with edges of two kinds at one time.
+CATALOG |= {
+    f"cat_both_{one}_{two}": f"SELECT count(*) AS n, min(a.vf) AS first, max(b.vf) AS last FROM link a, link b WHERE a.kind = '{one}' AND b.kind = '{two}' AND a.src = b.src AND a.dst = b.dst AND a.vf <= coalesce(b.vt, 9999) AND b.vf <= coalesce(a.vt, 9999)"
+    for one, two in (("collaboration", "rivalry"), ("friendship", "chemistry"), ("clique", "collaboration"), ("brand_fit", "employment"))
+}
+#: Triangles of edges of given kinds.
+CATALOG |= {
+    f"cat_triangle_{one}_{two}": f"SELECT count(*) AS n FROM link a, link b, link c WHERE a.kind = '{one}' AND b.kind = '{one}' AND c.kind = '{two}' AND a.dst = b.src AND a.src = c.src AND b.dst = c.dst"
+    for one, two in (("clique", "clique"), ("chemistry", "rivalry"), ("mentorship", "chemistry"))
+}
+CATALOG |= {
+    "cat_hierarchy": "SELECT p.name AS parent, count(*) AS children, min(c.name) AS first FROM link e, house p, house c WHERE e.kind = 'subsidiary' AND e.src = p.id AND e.dst = c.id GROUP BY p.name",
+    "cat_hierarchy_two": "SELECT g.name AS top, p.name AS middle, c.name AS child FROM link e, link h, house g, house p, house c WHERE e.kind = 'subsidiary' AND h.kind = 'subsidiary' AND e.dst = h.src AND g.id = e.src AND p.id = e.dst AND c.id = h.dst AND e.src <> h.dst AND e.src <> e.dst AND h.src <> h.dst",
+    "cat_link_both_ends": "SELECT a.name AS one, b.name AS other, e.vf AS since FROM link e, house a, house b WHERE e.kind = 'market_rival' AND e.src = a.id AND e.dst = b.id AND a.tier <> b.tier",
+    "cat_mentor_names": "SELECT a.name AS mentor, b.name AS pupil, e.vf AS since FROM link e, who a, who b WHERE e.kind = 'mentorship' AND a.id = e.src AND b.id = e.dst AND a.nationality = b.nationality",
+    "cat_job_change": "SELECT count(*) AS n, min(b.vf - a.vt) AS least, max(b.vf - a.vt) AS most FROM link a, link b WHERE a.kind = 'employment' AND b.kind = 'employment' AND a.dst = b.dst AND a.src <> b.src AND b.vf > a.vt",
+    "cat_job_overlap": "SELECT a.src AS one, count(*) AS n FROM link a, link b WHERE a.kind = 'employment' AND b.kind = 'exclusive_deal' AND a.dst = b.dst AND a.src <> b.src AND a.vf <= coalesce(b.vt, 9999) AND b.vf <= coalesce(a.vt, 9999) GROUP BY a.src",
+    "cat_deal_then_blacklist": "SELECT count(*) AS n, min(b.vf - a.vf) AS least FROM link a, link b WHERE a.kind = 'exclusive_deal' AND b.kind = 'blacklist' AND a.src = b.src AND a.dst = b.dst AND b.vf >= a.vf",
+    "cat_houses_of_cast": "SELECT h.country AS country, f.genre AS genre, count(DISTINCT p.person) AS people FROM link e, house h, part_in p, film f WHERE e.kind = 'employment' AND e.src = h.id AND e.dst = p.person AND p.mid = f.mid AND e.vf <= f.year AND e.vt >= f.year GROUP BY h.country, f.genre",
+    "cat_director_employed": "SELECT h.tier AS tier, count(*) AS n FROM film f, link e, house h WHERE e.kind = 'employment' AND e.dst = f.director AND e.src = h.id AND e.vf <= f.year AND (e.vt IS NULL OR e.vt >= f.year) GROUP BY h.tier",
+    "cat_director_befriends_cast": "SELECT count(*) AS n, count(DISTINCT f.mid) AS films FROM film f, part_in p, link e WHERE e.kind = 'friendship' AND p.mid = f.mid AND ((e.src = f.director AND e.dst = p.person) OR (e.dst = f.director AND e.src = p.person))",
+    "cat_rival_of_director": "SELECT f.country AS country, count(*) AS n FROM film f, part_in p, link e WHERE e.kind = 'rivalry' AND p.mid = f.mid AND e.src = f.director AND e.dst = p.person GROUP BY f.country",
+    "cat_star_5": "SELECT min(f.title) AS title, min(w.name) AS name, min(d.name) AS director, count(*) AS n FROM film f, part_in p, who w, who d WHERE f.mid = p.mid AND p.person = w.id AND f.director = d.id AND f.runtime > 120 AND w.gender <> d.gender AND f.country IN ('US', 'GB', 'FR')",
+    "cat_star_decades": "SELECT floor(f.year / 10) * 10 AS decade, w.gender AS gender, count(*) AS n FROM film f, part_in p, who w WHERE f.mid = p.mid AND p.person = w.id GROUP BY floor(f.year / 10) * 10, w.gender",
+    "cat_star_tier": "SELECT f.tier AS tier, w.nationality AS nationality, count(DISTINCT f.mid) AS films, min(w.name) AS name FROM film f, part_in p, who w WHERE f.mid = p.mid AND p.person = w.id AND f.tier IN ('Epic', 'A') GROUP BY f.tier, w.nationality HAVING count(*) > 20",
+    "cat_two_films_one_year": "SELECT count(*) AS n FROM part_in p, part_in q, film f, film g WHERE p.person = q.person AND p.mid = f.mid AND q.mid = g.mid AND f.year = g.year AND f.genre = 'horror' AND g.genre = 'comedy'",
+    "cat_same_director_cast": "SELECT count(*) AS n, min(f.title) AS title FROM film f, film g, part_in p, part_in q WHERE f.director = g.director AND f.director > 0 AND f.mid < g.mid AND p.mid = f.mid AND q.mid = g.mid AND p.person = q.person",
+    "cat_certificates": "SELECT certificate, count(*) AS n, round(avg(runtime), 6) AS mean, min(runtime) AS least, max(runtime) AS most FROM film WHERE certificate IS NOT NULL GROUP BY certificate",
+    "cat_kinds_by_decade": "SELECT kind, floor(vf / 10) * 10 AS decade, count(*) AS n FROM link WHERE vf IS NOT NULL GROUP BY kind, floor(vf / 10) * 10",
+    "cat_spans": "SELECT kind, count(*) AS n, min(vt - vf) AS least, max(vt - vf) AS most, round(avg(vt - vf), 6) AS mean FROM link WHERE vf <= vt GROUP BY kind",
+    "cat_in_list": "SELECT count(*) AS n, min(name) AS name FROM who WHERE id IN (SELECT director FROM film WHERE year > 2015) AND id NOT IN (SELECT person FROM part_in)",
+    "cat_except": "SELECT count(*) AS n FROM (SELECT src FROM link WHERE kind = 'friendship' EXCEPT SELECT src FROM link WHERE kind = 'rivalry') x",
+    "cat_intersect": "SELECT count(*) AS n FROM (SELECT dst FROM link WHERE kind = 'employment' INTERSECT SELECT dst FROM link WHERE kind = 'blacklist') x",
+    "cat_exists_two": "SELECT count(*) AS n FROM who x WHERE EXISTS (SELECT 1 FROM link e WHERE e.src = x.id AND e.kind = 'mentorship') AND EXISTS (SELECT 1 FROM part_in p WHERE p.person = x.id)",
+    "cat_left_missing": "SELECT count(*) AS n, count(w.id) AS known FROM link e LEFT JOIN who w ON w.id = e.dst WHERE e.kind = 'friendship'",
+    "cat_full_outer": "SELECT count(*) AS n, count(a.director) AS directors, count(b.person) AS actors FROM (SELECT DISTINCT director FROM film WHERE director > 0) a FULL JOIN (SELECT DISTINCT person FROM part_in) b ON a.director = b.person",
+    "cat_top_people": "SELECT w.name AS name, p.n AS n FROM (SELECT person, count(*) AS n FROM part_in GROUP BY person) p, who w WHERE p.person = w.id AND w.name IS NOT NULL ORDER BY p.n DESC, w.name, w.id LIMIT 25",
+    "cat_window_share": "SELECT genre, n, round(n / CAST(sum(n) OVER () AS DOUBLE), 8) AS share FROM (SELECT genre, count(*) AS n FROM film WHERE genre IS NOT NULL GROUP BY genre) x",
+    "cat_rollup": "SELECT tier, genre, count(*) AS n FROM film WHERE tier IS NOT NULL AND genre IS NOT NULL GROUP BY ROLLUP (tier, genre)",
+    "cat_case_sum": "SELECT year, sum(CASE WHEN genre = 'drama' THEN 1 ELSE 0 END) AS drama, sum(CASE WHEN runtime >= 120 THEN 1 ELSE 0 END) AS long FROM film WHERE year IS NOT NULL GROUP BY year",
+    "cat_three_hops": "SELECT count(*) AS n FROM link a, link b, link c WHERE a.kind = 'mentorship' AND b.kind = 'mentorship' AND c.kind = 'chemistry' AND a.dst = b.src AND b.dst = c.src AND a.src <> b.dst",
+    "cat_orders_lines": "SELECT o_orderpriority AS priority, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM orders, lineitem WHERE o_orderkey = l_orderkey AND l_quantity < 24 GROUP BY o_orderpriority",
+}
+
 
 def register(spark: SparkSession, folder: str) -> None:
     """Views of all tables of a folder."""
