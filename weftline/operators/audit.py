@@ -33,3 +33,10 @@ def compared(baseline: DataFrame, variant: DataFrame) -> DataFrame:
     """``metric, baseline, variant, delta`` of two tables of ``metric, value``."""
     b, v = baseline.select("metric", F.col("value").alias("baseline")), variant.select("metric", F.col("value").alias("variant"))
     return b.join(v, "metric", "full").select("metric", "baseline", "variant", (F.col("variant") - F.col("baseline")).alias("delta"))
+
+
+def verdicts(checks: DataFrame, section: str, passed: str) -> DataFrame:
+    """``section, checks, n_passed, verdict``: GOOD if all pass, FAIR if at least half do, else POOR."""
+    got = checks.groupBy(section).agg(F.count(F.lit(1)).alias("checks"), F.count_if(passed).alias("n_passed"))
+    word = F.when(F.col("n_passed") == F.col("checks"), "GOOD").when(F.col("n_passed") * 2 >= F.col("checks"), "FAIR").otherwise("POOR")
+    return got.withColumn("verdict", word)

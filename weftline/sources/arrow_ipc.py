@@ -10,8 +10,12 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.pandas.types import from_arrow_schema
 
 
+def _local(path: str) -> str:
+    return path.removeprefix("file://") if path.startswith("file:///") else path.removeprefix("file:")
+
+
 def _files(path: str) -> list[str]:
-    """The files of a folder on a file system all tasks share."""
+    """The files of a folder on a file system that is mounted on all nodes."""
     if os.path.isdir(path):
         return sorted(os.path.join(path, f) for f in os.listdir(path) if f.endswith(".arrow") and not f.startswith(("_", ".")))
     return [path]
@@ -25,14 +29,14 @@ class ArrowSource(DataSource):
     def schema(self):
         import pyarrow as pa
 
-        with pa.OSFile(_files(self.options["path"])[0]) as f:
+        with pa.OSFile(_files(_local(self.options["path"]))[0]) as f:
             return from_arrow_schema(pa.ipc.open_file(f).schema)
 
     def reader(self, schema):
-        return _Reader(self.options["path"])
+        return _Reader(_local(self.options["path"]))
 
     def writer(self, schema, overwrite):
-        return _Writer(self.options["path"], self.options.get("compression", "lz4"))
+        return _Writer(_local(self.options["path"]), self.options.get("compression", "lz4"))
 
 
 @dataclass

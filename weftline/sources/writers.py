@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql import types as T
 
 from weftline.operators.graph import active, with_closures
 from weftline.operators.ranking import dense_ids
+from weftline.session import BROADCAST_ROWS
 from weftline.sources.contract import conform
 
 
@@ -56,3 +59,35 @@ def final_active(versions: DataFrame, closures: DataFrame, names: DataFrame, yea
 def append_log(df: DataFrame, path: str, year: str = "event_year") -> int:
     """Adds rows to a log laid out by year."""
     return write_table(df, path, mode="append", partition=[year])
+
+
+def write_json_batch(df: DataFrame, path: str, limit: int = BROADCAST_ROWS) -> int:
+    """Writes a short table as one JSON list in one file that is there whole or not at all; ValueError beyond ``limit`` rows.
+
+    Nulls are written, and the order is that of the rows' JSON text. Returns the rows.
+    """
+    rows = df.count()
+    if rows > limit:
+        raise ValueError(f"{rows} rows are no batch; write a table instead")
+    text = F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"})
+    one = df.agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(text)), ","), F.lit("]")).alias("value"))
+    hidden = f"{path}.making-{uuid.uuid4().hex}"
+    one.coalesce(1).write.text(hidden)
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in fs.listStatus(hadoop.Path(hidden)) if f.getPath().getName().startswith("part-"))
+    fs.delete(hadoop.Path(path), False)
+    fs.rename(part, hadoop.Path(path))
+    fs.delete(hadoop.Path(hidden), True)
+    return rows
+
+
+def load_or_compile(spark: SparkSession, path: str, stamp: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at ``path`` if it was compiled whole from inputs with this stamp, else made, written and read back."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    where = f"{path}/stamp={stamp}"
+    if not fs.exists(hadoop.Path(where + "/_SUCCESS")):
+        make().write.mode("overwrite").option("compression", "zstd").parquet(where)
+    return spark.read.parquet(where)
