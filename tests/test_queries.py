@@ -3,10 +3,10 @@
 import pytest
 from compare import connect, rows
 
-from weftline.plans import catalog, graph, relational, reshaping, training
+from weftline.plans import catalog, export, flows, graph, producers, relational, reshaping, training
 
 DATA = "/root/testdata/sf0.001"
-MODULES = (training, relational, graph, reshaping, catalog)
+MODULES = (training, relational, graph, reshaping, export, flows, producers, catalog)
 QUERIES = {n: q for m in MODULES for n, q in m.QUERIES.items()}
 ORACLE = {n: s for m in MODULES for n, s in m.ORACLE.items()}
 

@@ -36,11 +36,12 @@ def analyzed(spark: SparkSession, tables: dict[str, DataFrame]) -> None:
 
 
 def plan_nodes(spark: SparkSession, sql: str) -> DataFrame:
-    """``depth, node, estimated, actual`` of a query's joins, filters and scans in the optimized plan.
+    """``nth, depth, node, estimated, actual``, from the root down, of a query's joins, filters and scans in the optimized plan.
 
     Each node's rows are counted by running its subplan, so this is for diagnosis on a
     sample of data, not for the queries themselves.
     """
+    before = spark.conf.get("spark.sql.cbo.enabled")
     spark.conf.set("spark.sql.cbo.enabled", "true")
     jvm = spark._jvm
     plan = spark.sql(sql)._jdf.queryExecution().optimizedPlan()
@@ -51,13 +52,30 @@ def plan_nodes(spark: SparkSession, sql: str) -> DataFrame:
         if name in ("Join", "Filter", "Relation", "LogicalRelation", "Aggregate"):
             stats = node.stats().rowCount()
             counted = jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, node).count()
-            rows.append((depth, name, int(str(stats.get())) if stats.isDefined() else None, counted))
+            rows.append((len(rows), depth, name, int(str(stats.get())) if stats.isDefined() else None, counted))
         children = node.children()
         for i in range(children.size()):
             walk(children.apply(i), depth + 1)
 
-    walk(plan, 0)
-    return spark.createDataFrame(rows, "depth int, node string, estimated long, actual long")
+    try:
+        walk(plan, 0)
+    finally:
+        spark.conf.set("spark.sql.cbo.enabled", before)
+    return spark.createDataFrame(rows, "nth int, depth int, node string, estimated long, actual long")
+
+
+def below_aggregate(nodes: DataFrame) -> DataFrame:
+    """The first node under the topmost aggregate of :func:`plan_nodes`, whose rows a count hides; none without an aggregate."""
+    top = nodes.filter("node = 'Aggregate'").agg(F.min("nth").alias("_top"))
+    under = nodes.join(F.broadcast(top), F.col("nth") > F.col("_top")).filter("node <> 'Aggregate'")
+    return under.orderBy("nth").limit(1).drop("_top")
+
+
+def real_nodes(nodes: DataFrame) -> DataFrame:
+    """Joins and filters that have an estimate and gave rows, with ``q`` and ``verdict``; others tell nothing about estimates."""
+    real = nodes.filter("node IN ('Join', 'Filter') AND estimated IS NOT NULL AND actual > 0")
+    q = q_error(F.col("estimated"), F.col("actual"))
+    return real.withColumn("q", q).withColumn("verdict", verdict(q))
 
 
 def summary(results: DataFrame, group: str | None = None) -> DataFrame:

@@ -102,3 +102,9 @@ def with_ids(df: DataFrame, column: str, order: list[str]) -> DataFrame:
     top = marked.filter("_good").agg(F.max(column)).first()[0] or 0
     good, bad = marked.filter("_good").drop("_good"), marked.filter("NOT _good").drop("_good", column)
     return good.unionByName(dense_ids(bad, order, column, first=top + 1))
+
+
+def exposure(members: DataFrame, others: DataFrame, key: str, first: int) -> DataFrame:
+    """``year, a, b, n``: how often each of ``others`` (``key, other``) met each of the first so many of ``members`` (``key, year, people``)."""
+    met = members.select(key, "year", F.explode(F.slice("people", 1, first)).alias("b")).join(others.withColumnRenamed("other", "a"), key)
+    return met.filter("a <> b").groupBy("year", "a", "b").agg(F.count(F.lit(1)).alias("n"))

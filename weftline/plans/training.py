@@ -24,7 +24,7 @@ def p1_events(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_hot_events(spark: SparkSession, d: str) -> DataFrame:
     """As p1_events, with so low limits that most people of small tables are cut into units."""
-    spec = AsofSpec(bucket_rows=500, hot_rows=8, chain_rows=30)
+    spec = AsofSpec(bucket_rows=20_000, hot_rows=8, chain_rows=30)
     return employment_asof(table(spark, d, "cast_year_cache"), table(spark, d, "edges"), spec)
 
 
@@ -69,11 +69,11 @@ def p2_cast_years(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_edge_weights_refined(spark: SparkSession, d: str) -> DataFrame:
     """As p2_edge_weights, with so low a limit that keys of small tables are refined too."""
-    return keyed_quantiles(_edge_histogram(spark, d)[0], hot_records=20, bins=8).withColumnRenamed("key", "src_id")
+    return keyed_quantiles(_edge_histogram(spark, d)[0], hot_records=100, bins=16).withColumnRenamed("key", "src_id")
 
 
 def p2_cast_years_refined(spark: SparkSession, d: str) -> DataFrame:
-    return keyed_quantiles(_cast_histogram(spark, d)[0], hot_records=20, bins=8).withColumnRenamed("key", "person_id")
+    return keyed_quantiles(_cast_histogram(spark, d)[0], hot_records=100, bins=16).withColumnRenamed("key", "person_id")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
