@@ -14,6 +14,7 @@ all tasks, and only windows it holds leave them.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -260,7 +261,8 @@ def _joined(docs: DataFrame, items: DataFrame, letters: bool) -> tuple[DataFrame
     """Pairs with a common window of letters (if asked for), and what is found of those with a common window of template tokens."""
     context = docs.sparkSession.sparkContext
     items = items.select("item", "lang", "text").filter("item IS NOT NULL AND text IS NOT NULL").distinct()
-    tables = context.broadcast(char_tables())
+    # a plain holder, as a broadcast value is unpickled without this package
+    tables = context.broadcast(SimpleNamespace(**vars(char_tables())))
     windows = items.mapInArrow(_item_windows(tables), "kind int, hash long, item long, need int, letters string, tokens int")
     if not letters:
         windows = windows.filter(F.col("kind") > 1)
