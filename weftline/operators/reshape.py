@@ -58,8 +58,9 @@ def collaborations(credits: DataFrame, billed: int = 20, least: int = 2) -> Data
 def shared_links(left: DataFrame, right: DataFrame, least: int = 2) -> DataFrame:
     """``source, target, n_shared`` of things with at least ``least`` members in common, of ``id, member``.
 
-    Members of very many things would give all pairs of them, so the members' counts
-    are joined from the rarer side: a member in only one side is dropped first.
+    Both sides are joined on the member, and pairs are counted before they are sent. A member of
+    very many things on both sides gives all pairs of them; that is what is asked for, and the
+    join's skew handling spreads it.
     """
     l = left.select(F.col("id").alias("source"), "member").distinct()
     r = right.select(F.col("id").alias("target"), "member").distinct()

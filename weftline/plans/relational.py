@@ -57,7 +57,7 @@ def job_star_join(spark, d):
 FROM lineitem, orders, customer, part WHERE l_orderkey = o_orderkey AND o_custkey = c_custkey AND l_partkey = p_partkey
 AND p_brand LIKE '%3' AND c_mktsegment = 'BUILDING' AND NOT (p_type LIKE 'PROMO%')""")
 def job_min_projection(spark, d):
-    """Minima over a join; each side only has to have partners, so fact tables are semi-joined before they meet."""
+    """Minima over a join; of each side only the columns asked for are read, and they meet in plain joins."""
     line, orders, cust, part = load(spark, d, "lineitem", "orders", "customer", "part")
     part = part.filter(F.col("p_brand").like("%3") & ~F.col("p_type").startswith("PROMO"))
     joined = (
