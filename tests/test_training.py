@@ -5,6 +5,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.operators.asof import AsofSpec, asof_versions, employment_asof
 from weftline.operators.intervals import edge_periods
@@ -82,6 +83,18 @@ def test_keyed_quantiles(spark, hot):
             assert got[k][c] == (finite[max(0, -(-len(finite) * p // 100) - 1)] if finite else None)
 
 
+@pytest.mark.parametrize("values", [
+    [0.0] * 30 + [i / 50 for i in range(40)], [-i / 50 for i in range(40)] + [0.0] * 9, [0.0] * 20 + [5e-324] * 20,
+    [0.0, 1e-300, 1.0, 1e300, 1.7e308] * 9, [-1.7e308, 0.0, 1e300] * 9, [0.0] * 40,
+])
+def test_refined_ranges_with_a_zero(spark, values):
+    """A range may begin or end at 0, be too narrow to divide by, or reach the largest numbers."""
+    df = spark.createDataFrame(list(enumerate(values)), "r long, v double").withColumn("k", F.lit(1))
+    got = keyed_quantiles(keyed_histogram(df, df.k, df.v, df.r), ("0.01", "0.5", "0.95"), 5, 8).first()
+    ordered = sorted(values)
+    assert [got["q0_01"], got["q0_5"], got["q0_95"]] == [ordered[max(0, -(-len(values) * p // 100) - 1)] for p in (1, 50, 95)]
+
+
 def test_heavy_keys_and_empty(spark):
     df = spark.createDataFrame([(i, 1 if i < 2 else i) for i in range(100)], "r long, k long")
     q = keyed_quantiles(keyed_histogram(df, df.k, df.r, df.r))

@@ -101,12 +101,15 @@ def _refine(values: DataFrame, hot: DataFrame, n_hot: int, probs: Sequence[str],
     open_ = open_.filter("lo < hi")
     lo, hi, value = F.col("lo"), F.col("hi"), F.col("value")
     # halves, so that the width of the range can't overflow
-    by_width = (value / 2 - lo / 2) / (hi / 2 - lo / 2)
-    size = lambda x: F.signum(x) * F.log1p(F.abs(x) * F.lit(1e12))
-    by_size = (size(value) - size(lo)) / (size(hi) - size(lo))
-    ends = F.greatest(F.abs(lo), F.abs(hi)) / F.least(F.abs(lo), F.abs(hi))
-    far = (ends > FAR) & (size(hi) > size(lo))
-    place = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor(F.when(F.coalesce(far, F.lit(False)), by_size).otherwise(by_width) * bins)))
+    by_width = F.try_divide(value / 2 - lo / 2, hi / 2 - lo / 2)
+    # of the root, which can't overflow
+    size = lambda x: F.signum(x) * F.log1p(F.sqrt(F.abs(x)) * F.lit(1e6))
+    by_size = F.try_divide(size(value) - size(lo), size(hi) - size(lo))
+    # no quotient, as a range may begin or end at 0
+    far = F.greatest(F.abs(lo), F.abs(hi)) > F.least(F.abs(lo), F.abs(hi)) * FAR
+    share = F.coalesce(F.when(far, by_size), by_width, F.lit(0.0))
+    # the ends come into different bins even where the range has no width to divide by, so that each round narrows it
+    place = F.when(value == hi, F.lit(bins - 1)).otherwise(F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor(share * bins))))
     before = Window.partitionBy("key", "lo", "hi").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     while n := open_.count():
         ranges = open_.select("key", "lo", "hi").distinct()
