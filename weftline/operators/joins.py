@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.session import BROADCAST_ROWS
+from weftline.operators.references import bloom_of, might_contain
+from weftline.session import BROADCAST_ROWS, broadcast_if_small, checkpoint
 
 
 def contains(low: Column, high: Column, point: Column) -> Column:
@@ -96,6 +97,23 @@ def common_neighbours(pairs: DataFrame, links: DataFrame) -> DataFrame:
     return left.join(near.select(F.col("v").alias("dst"), "w"), ["dst", "w"]).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n_common"))
 
 
+def together(groups: DataFrame, members: str, pairs: DataFrame) -> DataFrame:
+    """The asked pairs ``src, dst`` that are in one group, with the other columns of ``groups``.
+
+    ``members`` is a column with the array of a group's distinct members. Pairs are made from
+    the groups, whose number of pairs grows with the groups and not with what a member is in;
+    of those a Bloom filter of the asked ones leaves few others, and only these are sent.
+    """
+    asked = checkpoint(pairs.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    n = asked.count()
+    hashed = F.xxhash64("src", "dst")
+    kept = [c for c in groups.columns if c != members]
+    made = groups.select(*kept, members, F.explode(members).alias("src")).select(*kept, "src", F.explode(members).alias("dst"))
+    if n:
+        made = made.filter(might_contain(bloom_of(asked.select(hashed.alias("_h")), "_h", n), hashed))
+    return made.join(broadcast_if_small(asked, n), ["src", "dst"], "left_semi")
+
+
 def fan_out_count(core: DataFrame, facts: Sequence[tuple[DataFrame, str, str]]) -> DataFrame:
     """Rows of ``core`` joined with every fact table, ``n``, without making them.
 
