@@ -10,7 +10,7 @@ from compare import rows
 from weftline.functions import registry
 from weftline.plans import catalog
 
-PLANNED = ("cat_friends_together", "cat_together_chemistry", "cat_together_former_collaborator", "cat_together_clique", "cat_together_mentorship", "cat_director_befriends_cast", "cat_gap_same_person", "cat_rivals_together",)
+PLANNED = ("cat_friends_together", "cat_together_chemistry", "cat_together_former_collaborator", "cat_together_clique", "cat_together_mentorship", "cat_together_collaboration", "cat_rivals_together", "cat_director_befriends_cast", "cat_gap_same_person")
 
 
 def test_runner(spark, tmp_path):
