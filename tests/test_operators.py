@@ -230,3 +230,26 @@ def test_film_links_of_all_years(spark, tmp_path):
     spark.createDataFrame(films, "title_id long, year int, cast_ids array<long>").write.parquet(str(tmp_path / "cast_ensemble.parquet"))
     got = {(r["source"], r["target"]): r["n_shared"] for r in reshaping.film_links(spark, str(tmp_path)).collect()}
     assert got == {(1, 2): 2, (1, 3): 2, (2, 3): 3, (2, 4): 2, (3, 4): 2}
+
+
+def test_common_neighbours_of_hubs(spark):
+    """A hub's friends are not multiplied by its rivals; either end may have fewer."""
+    from test_catalog import _records_sent
+
+    links = [(1, i) for i in range(2, 1502)] + [(i, i + 1) for i in range(2, 400)] + [(3, 3), (None, 2), (9, 1)]
+    pairs = [(1, i) for i in range(3, 1003)] + [(i, i + 2) for i in range(5, 60)] + [(5000, 1), (7, 7), (4, 1)]
+    near: dict = {}
+    for a, b in links:
+        if a and b and a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    asked = {(min(p), max(p)) for p in pairs if p[0] != p[1]}
+    want = {p: n for p in asked if (n := len(near.get(p[0], set()) & near.get(p[1], set())))}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = _records_sent(spark)
+        frames = [spark.createDataFrame(x, "src long, dst long") for x in (pairs, links)]
+        got = {(r["src"], r["dst"]): r["n_common"] for r in joins.common_neighbours(*frames).collect()}
+        assert got == want and _records_sent(spark) - before < 100_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

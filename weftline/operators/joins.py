@@ -89,12 +89,19 @@ def directed_cycles(edges: DataFrame) -> DataFrame:
 
 
 def common_neighbours(pairs: DataFrame, links: DataFrame) -> DataFrame:
-    """``src, dst, n_common`` of pairs with at least one shared neighbour in undirected ``links``."""
+    """``src, dst, n_common`` of pairs with at least one shared neighbour in undirected ``links``.
+
+    The neighbours are taken from the end that has fewer, so that a hub's are joined only with
+    those of other hubs, and looked up at the other end.
+    """
     both = undirected(links)
     near = both.select(F.col("src").alias("v"), F.col("dst").alias("w")).unionAll(both.select(F.col("dst").alias("v"), F.col("src").alias("w")))
-    asked = undirected(pairs)
-    left = asked.join(near.withColumnRenamed("v", "src"), "src")
-    return left.join(near.select(F.col("v").alias("dst"), "w"), ["dst", "w"]).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n_common"))
+    degree = near.groupBy("v").agg(F.count(F.lit(1)).alias("d"))
+    asked = undirected(pairs).join(degree.select(F.col("v").alias("src"), F.col("d").alias("ds")), "src").join(degree.select(F.col("v").alias("dst"), F.col("d").alias("dd")), "dst")
+    fewer = F.col("ds") <= F.col("dd")
+    turned = asked.select("src", "dst", F.when(fewer, F.col("src")).otherwise(F.col("dst")).alias("v"), F.when(fewer, F.col("dst")).otherwise(F.col("src")).alias("_other"))
+    left = turned.join(near, "v").select("src", "dst", F.col("_other").alias("v"), "w")
+    return left.join(near, ["v", "w"]).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n_common"))
 
 
 def together(groups: DataFrame, members: str, pairs: DataFrame) -> DataFrame:
