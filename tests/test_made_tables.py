@@ -128,3 +128,20 @@ def test_batches_and_compiled(spark, tmp_path):
     for stamp in ("a", "a", "b"):
         assert writers.load_or_compile(spark, str(tmp_path / "c"), stamp, make).count() == 2
     assert len(made) == 2
+
+
+def test_pair_metrics_of_a_hub(spark):
+    """Someone's films are not multiplied by the people they have chemistry with."""
+    from test_catalog import _records_sent
+
+    films = spark.createDataFrame([(f, x) for f in range(1500) for x in (1, 2 + f % 40)], "title_id long, person long")
+    people = spark.createDataFrame([(i, 1990, "a;b", "FR", 1.0) for i in range(1, 1501)], "id long, debut int, tags string, nationality string, pop double")
+    pairs = spark.createDataFrame([(1, i) for i in range(2, 1502)], "x long, y long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = _records_sent(spark)
+        got = {r["y"]: (r["n_films"], r["films_a"], r["films_b"]) for r in graph.pair_metrics(pairs, people, films).collect()}
+        assert got == {i: ((n := sum(f % 40 == i - 2 for f in range(1500))), 1500, n) for i in range(2, 1501)}
+        assert _records_sent(spark) - before < 100_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

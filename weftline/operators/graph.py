@@ -288,21 +288,19 @@ def bucketed(versions: DataFrame, buckets: dict[str, tuple[str, ...]]) -> DataFr
 def pair_metrics(pairs: DataFrame, people: DataFrame, films: DataFrame) -> DataFrame:
     """Features of given pairs ``x, y`` from ``people`` (``id, debut, tags, nationality, pop``) and ``films`` (``title_id, person``).
 
-    Pairs without both records are left out. Common films are found over the people of the
-    pairs only, from the side of the pair, so nobody's films are joined with themselves.
+    Pairs without both records are left out. Common films are found from the side of the
+    film, over its people that are in a pair, so nobody's films are joined with anything.
     """
     from weftline.functions.scalars import jaccard, split_list
+    from weftline.operators.joins import together
 
     one = lambda end, tag: people.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{tag}") for c in ("debut", "tags", "nationality", "pop")])
     asked = pairs.select(F.explode(F.array("x", "y")).alias("person")).distinct()
     theirs = films.join(asked, "person", "left_semi")
     n = theirs.groupBy("person").agg(F.count(F.lit(1)).alias("n"))
-    common = (
-        pairs.join(theirs.withColumnRenamed("person", "x"), "x")
-        .join(theirs.withColumnRenamed("person", "y"), ["y", "title_id"])
-        .groupBy("x", "y")
-        .agg(F.count(F.lit(1)).alias("n_films"))
-    )
+    casts = theirs.groupBy("title_id").agg(F.collect_set("person").alias("people"))
+    met = together(casts, "people", pairs.select(F.col("x").alias("src"), F.col("y").alias("dst")))
+    common = met.groupBy(F.col("src").alias("x"), F.col("dst").alias("y")).agg(F.count(F.lit(1)).alias("n_films"))
     joined = pairs.join(one("x", "a"), "x").join(one("y", "b"), "y").join(common, ["x", "y"], "left")
     joined = joined.join(n.select(F.col("person").alias("x"), F.col("n").alias("films_a")), "x", "left").join(n.select(F.col("person").alias("y"), F.col("n").alias("films_b")), "y", "left")
     tags = jaccard(F.array_distinct(split_list(F.col("tags_a"))), F.array_distinct(split_list(F.col("tags_b"))))
