@@ -145,3 +145,23 @@ def test_pair_metrics_of_a_hub(spark):
         assert _records_sent(spark) - before < 100_000
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_risk_of_a_large_genre(spark, tmp_path):
+    """A genre's median is right where its films are over the limit and their ratios begin at 0."""
+    import duckdb
+    from compare import rows
+
+    from weftline.plans import export as plans
+
+    films = spark.range(1, 10_801).selectExpr(
+        "id AS mid", "concat('F', id) AS title", "id % 40 AS director_id", "'2001-02-03' AS base_release_date",
+        "struct(CAST(1950 + id % 70 AS INT) AS year, IF(id % 20 = 0, 'drama', 'war') AS genre, 'US' AS country, 'A' AS production_tier) AS concept",
+        "struct(id % 10 / 1D AS rating, id AS num_votes, id * 9000D AS budget_usd, CASE WHEN id % 5 < 2 THEN 0D ELSE id % 977 / 50D END AS performance_ratio) AS fin",
+    )
+    films.write.parquet(f"{tmp_path}/movie_context.parquet")
+    spark.range(1, 6000).selectExpr("id AS title_id", "1990 AS year", "sequence(1, 1 + id % 15) AS cast_ids").write.parquet(f"{tmp_path}/cast_ensemble.parquet")
+    con = duckdb.connect()
+    for t in ("movie_context", "cast_ensemble"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert rows(plans.risk_ranking(spark, str(tmp_path)).toPandas()) == rows(con.sql(plans.ORACLE["risk_ranking"]).df())
