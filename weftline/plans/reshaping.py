@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import scalars as S
 from weftline.operators import audit, qerror, reshape
+from weftline.operators.overlaps import common_members
 from weftline.plans.relational import _CASTS, casts
 from weftline.session import clean_label, table
 from weftline.streaming import flows
@@ -65,7 +66,7 @@ FROM c x JOIN c y ON x.person = y.person AND x.title_id < y.title_id GROUP BY AL
 def film_links(spark, d):
     """All films with people in common, each pair once."""
     c = casts(spark, d).select(F.col("title_id").alias("id"), F.col("person").alias("member"))
-    return reshape.shared_links(c, c).filter("source < target")
+    return common_members(c, least=2).toDF("source", "target", "n_shared")
 
 
 @query(f"""WITH k AS (SELECT title_id, any_value(year) AS year, list_sort(list_distinct(list(person)))[1:8] AS h FROM ({_CASTS}) GROUP BY 1),
