@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.scalars import key_uniform
 from weftline.operators.intervals import UNDIRECTED
+from weftline.operators.overlaps import common_members
 from weftline.session import checkpoint, parallelism
 
 #: Changes folded at once.
@@ -142,9 +143,8 @@ def transitive_pairs(pairs: DataFrame) -> DataFrame:
 
 def triadic_closure(pairs: DataFrame, chance: float, most: int = 8, seed: int = 42) -> DataFrame:
     """Unlinked pairs with a mutual neighbour, drawn with a chance, at most ``most`` for the smaller id."""
-    drawn = transitive_pairs(pairs).filter(key_uniform(seed, F.col("src"), F.col("dst")) < chance)
-    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("n_via"), "dst"))
-    return drawn.withColumn("_r", rank).filter(F.col("_r") <= most).drop("_r")
+    both = pairs.select(F.col("src").alias("id"), F.col("dst").alias("member")).unionAll(pairs.select(F.col("dst").alias("id"), F.col("src").alias("member")))
+    return common_members(both, unlinked=True, chance=chance, most=most, seed=seed).toDF("src", "dst", "n_via")
 
 
 def shared_tag_pairs(people: DataFrame, least: int = 3, per_tag: int = 200) -> DataFrame:
