@@ -57,7 +57,7 @@ def test_unlinked_and_drawn(spark, blocks, step):
     assert sorted((r["a"], r["b"], r["n"]) for r in drawn) == sorted((a, b, n) for a, bs in best.items() for b, n in bs[:3])
 
 
-@pytest.mark.parametrize("made", [lambda p: graph.triadic_closure(p, 0.4), "film_links"])
+@pytest.mark.parametrize("made", [graph.transitive_pairs, lambda p: graph.triadic_closure(p, 0.4), "film_links"])
 def test_pairs_of_a_hub_are_not_sent(spark, tmp_path, made):
     """Before, a hub's 719,400 pairs were."""
     if made == "film_links":

@@ -134,11 +134,9 @@ def contradicted(versions: DataFrame) -> DataFrame:
 
 
 def transitive_pairs(pairs: DataFrame) -> DataFrame:
-    """``src < dst`` with a common neighbour and no link of their own, ``n_via``."""
-    both = pairs.select(F.col("src").alias("v"), F.col("dst").alias("w")).unionAll(pairs.select(F.col("dst").alias("v"), F.col("src").alias("w")))
-    one, two = both.alias("x"), both.alias("y")
-    met = one.join(two, (F.col("x.v") == F.col("y.v")) & (F.col("x.w") < F.col("y.w"))).groupBy(F.col("x.w").alias("src"), F.col("y.w").alias("dst")).agg(F.count(F.lit(1)).alias("n_via"))
-    return met.join(pairs.select("src", "dst"), ["src", "dst"], "left_anti")
+    """``src < dst`` with a common neighbour and no link of their own, ``n_via``; ``pairs`` are undirected ones."""
+    both = pairs.select(F.col("src").alias("id"), F.col("dst").alias("member")).unionAll(pairs.select(F.col("dst").alias("id"), F.col("src").alias("member")))
+    return common_members(both, unlinked=True).toDF("src", "dst", "n_via")
 
 
 def triadic_closure(pairs: DataFrame, chance: float, most: int = 8, seed: int = 42) -> DataFrame:
