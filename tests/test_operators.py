@@ -253,3 +253,18 @@ def test_common_neighbours_of_hubs(spark):
         assert got == want and _records_sent(spark) - before < 100_000
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_bit_jaccard_keeps_all_tasks_busy(spark, tmp_path):
+    """Few bytes make many pairs; no task may be left with most of them."""
+    from weftline.plans import relational
+
+    part = spark.range(1, 601).selectExpr("id AS p_partkey", "'B' AS p_brand", "'T' AS p_type", "CAST(id % 50 + 1 AS INT) AS p_size")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = relational.bit_jaccard(spark, str(tmp_path)).withColumn("task", F.spark_partition_id())
+        sizes = [r["count"] for r in got.groupBy("task").count().collect()]
+        assert sum(sizes) == 600 * 599 // 2 and max(sizes) < sum(sizes) / 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

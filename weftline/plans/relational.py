@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import scalars as S
 from weftline.operators import joins, sampling, statistics
-from weftline.session import clean_label, table
+from weftline.session import clean_label, parallelism, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -511,12 +511,20 @@ def soundex5(spark, d):
     return people.select("person_id", S.phonetic_code(name["last"], 4).alias("surname_code"), S.phonetic_code(F.concat_ws(" ", name["last"], name["first"])).alias("name_code"))
 
 
+#: Tasks at least, where pairs are made of a small table.
+_PAIR_TASKS = 96
+
+
 @query("""SELECT x.p_partkey AS a, y.p_partkey AS b, bit_count((x.p_size * 37) & (y.p_size * 37)) / nullif(bit_count((x.p_size * 37) | (y.p_size * 37)), 0)::DOUBLE AS score
 FROM part x JOIN part y ON x.p_brand = y.p_brand AND x.p_type = y.p_type AND x.p_partkey < y.p_partkey""")
 def bit_jaccard(spark, d):
+    """The pairs are many and the table small, so tasks are made by number and not by the bytes they read, which would give a few."""
     part = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", (F.col("p_size") * 37).alias("bits"))
-    x, y = part.alias("x"), part.alias("y")
-    pairs = x.join(y, (F.col("x.p_brand") == F.col("y.p_brand")) & (F.col("x.p_type") == F.col("y.p_type")) & (F.col("x.p_partkey") < F.col("y.p_partkey")))
+    tasks, slices = max(_PAIR_TASKS, parallelism(spark)), 8
+    same = ["p_brand", "p_type", "slice"]
+    x = part.withColumn("slice", F.pmod(F.xxhash64("p_partkey"), F.lit(slices)).cast("int")).repartition(tasks, *same).alias("x")
+    y = part.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).repartition(tasks, *same).alias("y")
+    pairs = x.join(y, (F.col("x.p_brand") == F.col("y.p_brand")) & (F.col("x.p_type") == F.col("y.p_type")) & (F.col("x.slice") == F.col("y.slice")) & (F.col("x.p_partkey") < F.col("y.p_partkey")))
     return pairs.select(F.col("x.p_partkey").alias("a"), F.col("y.p_partkey").alias("b"), S.bit_jaccard(F.col("x.bits"), F.col("y.bits")).alias("score"))
 
 
