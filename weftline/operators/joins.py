@@ -173,26 +173,44 @@ def without_one_filter(df: DataFrame, filters: dict[str, Column]) -> DataFrame:
     return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("dropped"), F.col(f"_{i}").alias("n")) for i, (k, _) in enumerate(counts)])))
 
 
+def _one_less(df: DataFrame, text: str) -> DataFrame:
+    """``text`` as it is and without each one of its characters; of a run of equal ones the last."""
+    at = F.expr(f"explode(sequence(0, length({text})))")
+    each = df.withColumn("_at", at).filter(f"_at = 0 OR substring({text}, _at, 1) <> substring({text}, _at + 1, 1)")
+    return each.withColumn(text, F.expr(f"IF(_at = 0, {text}, concat(left({text}, _at - 1), substring({text}, _at + 1)))")).drop("_at")
+
+
+def _near(left: DataFrame, right: DataFrame, edits: int, halves: bool) -> DataFrame:
+    """``name, match, edits`` of the nearest within ``edits``, at most 1, or 3 by halves."""
+    # an equal piece is told by its hash, as the edits are counted anyway
+    piece = lambda df, *kept: _one_less(df, "p").select(*kept, F.xxhash64("i", "p").alias("h"))
+    if halves:
+        l = left.withColumns({"i": F.expr("explode(array(0, 1))"), "size": F.length("n")})
+        low, high = f"greatest((greatest(size - {edits}, 0) + i) DIV 2 - 1, 0)", f"least((size + {edits} + i) DIV 2 + 1, size)"
+        l = l.withColumn("t", F.expr(f"explode(sequence({low}, {high}))")).withColumn("p", F.expr("IF(i = 0, left(n, t), right(n, t))"))
+        r = right.withColumns({"i": F.expr("explode(array(0, 1))"), "size": F.length("m")}).withColumn("p", F.expr("IF(i = 0, left(m, size DIV 2), right(m, size - size DIV 2))"))
+    else:
+        l, r = left.withColumns({"i": F.lit(0), "p": F.col("n")}), right.withColumns({"i": F.lit(0), "p": F.col("m")})
+    met = piece(l, "name", "n").distinct().join(piece(r, "match", "m"), "h").filter(f"name <> match AND abs(length(n) - length(m)) <= {edits}")
+    near = met.withColumn("edits", F.levenshtein("n", "m", edits)).filter("edits >= 0")
+    return near.groupBy("name").agg(F.min(F.struct("edits", "match")).alias("_m")).select("name", "_m.match", "_m.edits")
+
+
 def nearest_of_all(left: DataFrame, right: DataFrame, edits: int = 3) -> DataFrame:
-    """``name, match, edits``: for each ``name`` of ``left`` the nearest other one of ``right``, at most ``edits`` away.
+    """``name, match, edits``: for each ``name`` of ``left`` the nearest other one of ``right``, at most ``edits`` away (3 at most).
 
     Lower-cased names are compared; of equally near ones the least counts. No pair is
-    missed: of ``edits + 1`` pieces of the other name one stays whole, and stands in
-    this one not further off than the edits before and behind it allow. Names too
-    short for that many pieces meet all names of a fitting length.
+    missed: two names one edit apart are the same where each lost a character at most.
+    The names without one so near are looked up by halves: of 3 edits one half of the
+    other name has one at most, and it begins or ends this one.
     """
-    pieces, whole = edits + 1, "L >= {0}".format(edits + 1)
-    begin, end = f"IF({whole}, i * L DIV {pieces}, 0)", f"IF({whole}, (i + 1) * L DIV {pieces}, 0)"
-    each = f"explode(IF({whole}, sequence(0, {edits}), array(0)))"
-    r = right.select(F.col("name").alias("match")).filter("match IS NOT NULL").distinct().withColumn("m", F.lower("match")).withColumn("L", F.length("m"))
-    r = r.withColumn("i", F.expr(each)).withColumns({"s": F.expr(begin), "e": F.expr(end)})
-    r = r.select("match", "m", "L", "i", F.expr("substring(m, s + 1, e - s)").alias("piece"))
+    if not 1 <= edits <= 3:
+        raise ValueError("edits must be 1, 2 or 3")
+    r = right.select(F.col("name").alias("match")).filter("match IS NOT NULL").distinct().withColumn("m", F.lower("match"))
     l = left.select("name").filter("name IS NOT NULL").distinct().withColumn("n", F.lower("name"))
-    l = l.withColumn("L", F.expr(f"explode(sequence(greatest(length(n) - {edits}, 0), length(n) + {edits}))")).withColumn("i", F.expr(each))
-    l = l.withColumns({"s": F.expr(begin), "e": F.expr(end), "d": F.length("n") - F.col("L")})
-    low = f"IF({whole}, greatest(s - i, s + d - ({edits} - i), 0), 0)"
-    high = f"IF({whole}, least(s + i, s + d + ({edits} - i), length(n) - (e - s)), 0)"
-    l = l.withColumns({"low": F.expr(low), "high": F.expr(high)}).filter("low <= high").withColumn("at", F.expr("explode(sequence(low, high))"))
-    l = l.select("name", "n", "L", "i", F.expr("substring(n, at + 1, e - s)").alias("piece")).distinct()
-    near = l.join(r, ["L", "i", "piece"]).filter("name <> match").withColumn("edits", F.levenshtein("n", "m", edits)).filter("edits >= 0")
-    return near.groupBy("name").agg(F.min(F.struct("edits", "match")).alias("_m")).select("name", "_m.match", "_m.edits")
+    if edits == 1:
+        return _near(l, r, 1, False)
+    # read by both steps
+    l, r = checkpoint(l), checkpoint(r)
+    found = checkpoint(_near(l, r, 1, False))
+    return found.unionByName(_near(l.join(found, "name", "left_anti"), r, edits, True))
