@@ -42,6 +42,12 @@ def test_common_members(spark, blocks, step):
     assert common_members(spark.createDataFrame([], "id long, member long")).collect() == []
 
 
+def test_each_two_blocks_have_a_task(spark):
+    """Before, some tasks counted several, one after another, and others none."""
+    got = common_members(spark.range(600).select("id", F.lit(7).cast("bigint").alias("member")), block_members=100)
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() == 36
+
+
 @pytest.mark.parametrize("blocks,step", [(10**6, 1 << 20), (100, 300)])
 def test_unlinked_and_drawn(spark, blocks, step):
     pairs = links()

@@ -45,7 +45,7 @@ def common_members(
     task: Column = F.col("_i") * blocks + F.col("_j")
     placed = sides[0].unionAll(sides[1]).select(task.alias("task"), "_left", "id", "member")
     counted = (
-        placed.repartition(blocks * blocks, "task").sortWithinPartitions("task")
+        placed.repartitionById(blocks * blocks, F.col("task").cast("int")).sortWithinPartitions("task")
         .mapInArrow(_counter(least, unlinked, chance, most, seed, step), "a long, b long, n long")
     )
     if most is None:
